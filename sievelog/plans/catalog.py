@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievelog.plans import parsing
+from sievelog.plans import features, parsing
 
-_MODULES = (parsing,)
+_MODULES = (parsing, features)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -45,25 +45,37 @@ def run_repeats(run: Column) -> Column:
     return (F.octet_length(run) / (F.octet_length(run_word(run)) + 1)).cast("int")
 
 
-def char_entropy(runs: Column, text: Column) -> Column:
-    return _entropy(F.transform(runs, lambda r: F.length(r)), F.length(text))
-
-
-def word_entropy(runs: Column, text: Column) -> Column:
-    total = F.aggregate(runs, F.lit(0), lambda acc, r: acc + run_repeats(r))
-    return _entropy(F.transform(runs, run_repeats), total)
-
-
-def mean_word_length(runs: Column) -> Column:
-    """Mean length over all words, from the runs; 0 when there are none."""
-    start = F.struct(F.lit(0).cast("bigint").alias("chars"), F.lit(0).cast("bigint").alias("n"))
+def with_entropy(df, message: str):
+    """Add the entropy columns of ``message``.
+
+    Counts and totals are projected before they are folded: inside a fold they would be recomputed per element.
+    """
+    text = F.col(message)
+    df = df.withColumns({"_char_runs": char_runs(text), "_word_runs": word_runs(text)})
+    df = df.withColumns(
+        {
+            "_char_counts": F.transform("_char_runs", lambda r: F.length(r)),
+            "_word_counts": F.transform("_word_runs", run_repeats),
+            "_word_lengths": F.transform(
+                "_word_runs", lambda r: run_repeats(r).cast("bigint") * F.length(run_word(r))
+            ),
+        }
+    )
+    df = df.withColumns({"_chars": F.length(text), "_words": _total("_word_counts"), "_in_words": _total("_word_lengths")})
+    return df.withColumns(
+        {
+            "char_entropy": _entropy(F.col("_char_counts"), F.col("_chars")),
+            "word_entropy": _entropy(F.col("_word_counts"), F.col("_words")),
+            "unique_chars": F.size("_char_counts"),
+            "unique_words": F.size("_word_counts"),
+            "avg_word_length": F.when(F.col("_words") > 0, F.col("_in_words") / F.col("_words")).otherwise(
+                F.when(text.isNotNull(), F.lit(0.0))
+            ),
+        }
+    ).drop(
+        "_char_runs", "_word_runs", "_char_counts", "_word_counts", "_word_lengths", "_chars", "_words", "_in_words"
+    )
 
-    def add(acc, run):
-        n = run_repeats(run)
-        return F.struct(
-            (acc["chars"] + n * F.length(run_word(run))).alias("chars"), (acc["n"] + n).alias("n")
-        )
 
-    return F.aggregate(
-        runs, start, add, lambda acc: F.when(acc["n"] > 0, acc["chars"] / acc["n"]).otherwise(F.lit(0.0))
-    )
+def _total(counts: str) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, n: acc + n)

@@ -62,22 +62,24 @@ def context_features(
     out: dict[str, Column] = {}
 
     if any("time_delta" in c for c in columns):
-        # null times are left out before differencing; an 11-row list is cheaper than a second frame
+        # null times are left out before differencing; so the list is taken first
         rows = rows.withColumn("_times", F.collect_list(F.unix_micros(F.col("ts"))).over(around))
         times = F.col("_times")
         n = F.size(times)
         gaps = F.when(
             n > 1,
-            F.zip_with(F.slice(times, 2, n - 1), F.slice(times, 1, n - 1), lambda b, a: (b - a) / 1e6),
+            F.zip_with(F.slice(times, 2, n - 1), F.slice(times, 1, n - 1), lambda b, a: b - a),
         )
         rows = rows.withColumn("_gaps", gaps)
         gaps = F.col("_gaps")
-        total = F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x)
-        rows = rows.withColumn("avg_time_delta", total / F.size(gaps))
-        centre = F.col("avg_time_delta")
+        # whole microseconds until the end: sums are exact
+        total = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        rows = rows.withColumn("_mean_gap", total / F.size(gaps))
+        centre = F.col("_mean_gap")
         spread = F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + (x - centre) * (x - centre))
-        out["std_time_delta"] = F.sqrt(spread / F.size(gaps))
-        out["max_time_delta"] = F.array_max(gaps)
+        out["avg_time_delta"] = centre / 1e6
+        out["std_time_delta"] = F.sqrt(spread / F.size(gaps)) / 1e6
+        out["max_time_delta"] = F.array_max(gaps) / 1e6
 
     if any("ratio_in_window" in c for c in columns):
         for name, level in (("error_ratio_in_window", "ERROR"), ("warn_ratio_in_window", "WARN")):

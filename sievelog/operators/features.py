@@ -77,21 +77,8 @@ def basic_features(df: DataFrame, message: str = "message", raw: str | None = "r
 
 
 def entropy_features(df: DataFrame, message: str = "message") -> DataFrame:
-    m = F.col(message)
-    chars, words = F.col("_char_runs"), F.col("_word_runs")
-    return (
-        df.withColumns({"_char_runs": en.char_runs(m), "_word_runs": en.word_runs(m)})
-        .withColumns(
-            {
-                "char_entropy": en.char_entropy(chars, m),
-                "word_entropy": en.word_entropy(words, m),
-                "unique_chars": F.size(chars),
-                "unique_words": F.size(words),
-                "avg_word_length": en.mean_word_length(words),
-            }
-        )
-        .drop("_char_runs", "_word_runs")
-    )
+    """Entropy, distinct counts and mean word length over characters and words."""
+    return en.with_entropy(df, message)
 
 
 def pattern_counts(df: DataFrame, message: str = "message", patterns=None) -> DataFrame:

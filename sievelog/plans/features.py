@@ -182,10 +182,16 @@ def message_similarity(spark, sf_dir):
     return _round(out.select("a.conv_id", "a.turn", "similarity"), "similarity")
 
 
+def _round_context(df: DataFrame) -> DataFrame:
+    # a mean of ten gaps has seven decimals, all of them exact
+    names = [c for c in context.CONTEXT_COLUMNS if c in df.columns and not c.startswith("unique")]
+    return df.withColumns({c: F.round(c, 9 if c == "avg_time_delta" else 6) for c in names})
+
+
 def _context(*columns):
     def query(spark, sf_dir):
         out = context.context_features(log_entries(spark, sf_dir), columns=columns)
-        return _round(out.select("line_no", *columns), *[c for c in columns if not c.startswith("unique")])
+        return _round_context(out.select("line_no", *columns))
 
     return query
 
@@ -200,10 +206,7 @@ def conversation_context(spark, sf_dir):
     return _round(out.select("conv_id", "turn", *names), *names)
 
 
-_ALL_ROUNDED = (
-    *_RATIOS, "char_entropy", "word_entropy", "avg_word_length",
-    *[c for c in context.CONTEXT_COLUMNS if not c.startswith("unique")],
-)
+_ALL_ROUNDED = (*_RATIOS, "char_entropy", "word_entropy", "avg_word_length")
 
 
 def all_features(spark, sf_dir):
@@ -217,7 +220,7 @@ def all_features(spark, sf_dir):
     entropy = ["char_entropy", "word_entropy", "unique_chars", "unique_words", "avg_word_length"]
     columns = [*_BASIC, *entropy, *patterns, *security, *extra, *context.CONTEXT_COLUMNS]
     return _round(
-        out.select(
+        _round_context(out).select(
             "file",
             "entry_index",
             F.date_format("ts_wall", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
@@ -392,9 +395,9 @@ _ALL_TEXTS = TEXTS + ", every AS (SELECT 'e' AS kind, CAST(line_no AS VARCHAR) A
 _IPS = f"regexp_extract_all(message, '{_SQL_PATTERNS['ip_address']}')"
 
 _FRAME = "(PARTITION BY file ORDER BY line_no ROWS BETWEEN {} AND 5 FOLLOWING)"
-_TIME_WINDOW = f"""gaps AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY file ORDER BY line_no)) / 1e6 AS d FROM log_entries),
-tw AS (SELECT line_no, round(avg(d) OVER w, 6) AS avg_time_delta, round(stddev_pop(d) OVER w, 6) AS std_time_delta,
- round(max(d) OVER w, 6) AS max_time_delta FROM gaps WINDOW w AS {_FRAME.format('4 PRECEDING')})"""
+_TIME_WINDOW = f"""gaps AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY file ORDER BY line_no)) AS d FROM log_entries),
+tw AS (SELECT line_no, round(avg(d) OVER w / 1e6, 9) AS avg_time_delta, round(stddev_pop(d) OVER w / 1e6, 6) AS std_time_delta,
+ round(max(d) OVER w / 1e6, 6) AS max_time_delta FROM gaps WINDOW w AS {_FRAME.format('4 PRECEDING')})"""
 _LEVEL_WINDOW = f"""lw AS (SELECT line_no, CASE WHEN count(*) OVER w > 1 THEN round(avg(CASE WHEN level = 'ERROR' THEN 1.0 ELSE 0.0 END) OVER w, 6) END AS error_ratio_in_window,
  CASE WHEN count(*) OVER w > 1 THEN round(avg(CASE WHEN level = 'WARN' THEN 1.0 ELSE 0.0 END) OVER w, 6) END AS warn_ratio_in_window,
  CASE WHEN count(*) OVER w > 1 THEN count(DISTINCT coalesce(source, chr(1))) OVER w END AS unique_sources_in_window

@@ -183,7 +183,7 @@ def _matched_sql(case: str) -> str:
 
 
 def _walk_sql(source: str, key: str, wait: str) -> str:
-    return f"""steps AS (SELECT {key} AS k, line_no, epoch_us(ts) AS t, {wait} * 1000000 AS c,
+    return f"""steps AS (SELECT {key} AS k, line_no, epoch_us(ts) AS t, {wait} * 1000000::BIGINT AS c,
   row_number() OVER (PARTITION BY {key} ORDER BY ts, line_no) AS rn FROM {source}),
 walk(k, rn, line_no, last, sent) AS (SELECT k, rn, line_no, t, true FROM steps WHERE rn = 1
   UNION ALL SELECT s.k, s.rn, s.line_no, CASE WHEN s.t - w.last >= s.c THEN s.t ELSE w.last END, s.t - w.last >= s.c

@@ -153,10 +153,10 @@ SEVERITY_SQL = (
 
 
 def _split_sql(source: str, key: str) -> str:
-    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST({key} AS VARCHAR) || ':42'), {key}) - 1 AS at,
+    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST({key} AS VARCHAR) || ':42'), {key}) - 1 AS place,
   count(*) OVER (PARTITION BY label) AS n FROM {source}),
 cut AS (SELECT *, ceil(n * 0.2::DOUBLE) AS n_test FROM placed),
-split AS (SELECT *, CASE WHEN at < n_test THEN 'test' WHEN at < n_test + ceil((n - n_test) * (0.1::DOUBLE / (1 - 0.2::DOUBLE))) THEN 'validation'
+split AS (SELECT *, CASE WHEN place < n_test THEN 'test' WHEN place < n_test + ceil((n - n_test) * (0.1::DOUBLE / (1 - 0.2::DOUBLE))) THEN 'validation'
   ELSE 'train' END AS split FROM cut)"""
 
 

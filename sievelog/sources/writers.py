@@ -11,7 +11,14 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; quotes are doubled so free text survives the round trip."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True)
+    df.write.mode("overwrite").csv(
+        path,
+        header=True,
+        escape='"',
+        quoteAll=True,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_entries(entries: DataFrame, path: str) -> None:

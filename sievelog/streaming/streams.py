@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
@@ -121,9 +122,16 @@ def detect_stream(
     column: str = "value",
     threshold: float = DEFAULT_THRESHOLD,
     ingest_ts: Column | None = None,
+    default_year: int | None = None,
 ) -> DataFrame:
-    """Lines to detection results, one stateless plan."""
-    return detect(parse_logs(lines, column, ingest_ts=ingest_ts), scorer, threshold)
+    """Lines to detection results, one stateless plan.
+
+    Syslog times carry no year. A stream reads them in ``default_year``, the current one if not given: a year
+    before the watermark's start would make every such row late.
+    """
+    year = datetime.date.today().year if default_year is None else default_year
+    parsed = parse_logs(lines, column, ingest_ts=ingest_ts, default_year=year)
+    return detect(parsed, scorer, threshold)
 
 
 def alert_stream(detected: DataFrame, config: AlertConfig, keep: tuple[str, ...] = ("line_no",)) -> DataFrame:

@@ -28,8 +28,13 @@ def apply_cooldown(
     cooldown: str | int = "cooldown",
     limit: int = LIMIT,
     rows_per_cell: int = ROWS_PER_CELL,
+    sent_before: DataFrame | None = None,
 ) -> DataFrame:
-    """Keep the alerts that are sent. ``order`` is a unique row number that also breaks ties in time."""
+    """Keep the alerts that are sent. ``order`` is a unique row number that also breaks ties in time.
+
+    ``sent_before`` holds the last time each identity (columns ``key`` and ``ts``) was sent by an earlier run;
+    alerts up to a cooldown after it, and late ones before it, are held back.
+    """
     seconds = F.col(cooldown) if isinstance(cooldown, str) else F.lit(cooldown)
     narrow = alerts.select(
         F.col(key).alias("k"),
@@ -38,7 +43,18 @@ def apply_cooldown(
         F.col(order).alias("o"),
     ).where("k is not null and t is not null and c is not null")
     # of equal times under an equal cooldown only the first can be sent
-    steps = narrow.groupBy("k", "t", "c").agg(F.min("o").alias("o"))
+    steps = narrow.groupBy("k", "t", "c").agg(F.min("o").cast("bigint").alias("o"))
+    # an earlier run's time comes first whatever its value
+    steps = steps.withColumn("s", F.lit(1))
+    if sent_before is not None:
+        earlier = sent_before.select(
+            F.col(key).alias("k"),
+            F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
+            F.lit(0).cast("bigint").alias("c"),
+            F.lit(None).cast("bigint").alias("o"),
+            F.lit(0).alias("s"),
+        )
+        steps = steps.unionByName(earlier)
 
     sizes = steps.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
     hot = [r["n"] for r in sizes.agg(F.count(F.lit(1)).alias("n")).collect()][0]
@@ -55,7 +71,7 @@ def apply_cooldown(
         kept = _walk_rows(steps)
     # without a cooldown nothing is held back, equal times included
     free = narrow.where("c <= 0").select("k", "o")
-    kept = kept.unionByName(free).distinct()
+    kept = kept.where("o is not null").unionByName(free).distinct()
     return alerts.join(
         kept.select(F.col("k").alias(key), F.col("o").alias(order)), [key, order], "left_semi"
     )
@@ -70,7 +86,7 @@ def _without(steps: DataFrame, hot_keys: DataFrame, batches: int) -> DataFrame:
 
 def _walk_rows(steps: DataFrame) -> DataFrame:
     """Walk the sorted times of each identity inside its row."""
-    timeline = F.sort_array(F.collect_list(F.struct("t", "o", "c")))
+    timeline = F.sort_array(F.collect_list(F.struct("s", "t", "o", "c")))
     start = F.struct(
         F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept")
     )
@@ -79,7 +95,7 @@ def _walk_rows(steps: DataFrame) -> DataFrame:
         goes = acc["last"].isNull() | (x["t"] - acc["last"] >= x["c"])
         return F.struct(
             F.when(goes, x["t"]).otherwise(acc["last"]).alias("last"),
-            F.when(goes, F.array_append(acc["kept"], x["o"].cast("bigint"))).otherwise(acc["kept"]).alias("kept"),
+            F.when(goes, F.array_append(acc["kept"], x["o"])).otherwise(acc["kept"]).alias("kept"),
         )
 
     walked = steps.groupBy("k").agg(timeline.alias("steps"))
@@ -91,6 +107,14 @@ def _walk_rows(steps: DataFrame) -> DataFrame:
 def _walk_rounds(steps: DataFrame, rows_per_cell: int) -> DataFrame:
     """Advance every identity by one sent alert per round."""
     steps = checkpointed(steps)
+    # at most one earlier time per identity, so as bounded as the identities themselves
+    earlier = steps.where("s = 0").select("k", F.col("t").alias("before"))
+    steps = (
+        steps.where("s = 1")
+        .join(F.broadcast(earlier), "k", "left")
+        .where((F.col("c") <= 0) | F.col("before").isNull() | (F.col("t") - F.col("before") >= F.col("c")))
+        .drop("before", "s")
+    )
     celled = add_quantile_cells(steps, F.col("t"), rows_per_cell)
     free_time = F.when(F.col("c") <= 0, F.col("t"))
     # alerts without a cooldown are sent in any case and hold back the ones after them
@@ -115,4 +139,4 @@ def _walk_rounds(steps: DataFrame, rows_per_cell: int) -> DataFrame:
         if state.isEmpty():
             break
         sent.append(state)
-    return reduce(DataFrame.unionByName, sent).select("k", F.col("at.o").cast("bigint").alias("o"))
+    return reduce(DataFrame.unionByName, sent).select("k", F.col("at.o").alias("o"))

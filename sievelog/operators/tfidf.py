@@ -60,6 +60,15 @@ def term_counts(df: DataFrame, message: str, stop_words: Sequence[str]) -> DataF
     return df.withColumn("_runs", runs).withColumn("_terms", counted).drop("_tokens", "_runs")
 
 
+def _each_term(counted: DataFrame, *keep: str) -> DataFrame:
+    """One row ``t`` per term.
+
+    The outer form: for the inner one the optimizer adds a size filter on the array and copies the whole
+    tokenisation into it.
+    """
+    return counted.select(*keep, F.explode_outer("_terms").alias("t")).where("t.term is not null")
+
+
 @dataclass(frozen=True)
 class TfIdf:
     """A fitted vocabulary: ``term``, ``count``, ``df``, ``idf``; at most ``max_features`` rows."""
@@ -84,7 +93,7 @@ def fit_tfidf(
     stop_words = default_stop_words() if stop_words is None else list(stop_words)
     counted = term_counts(df.select(message), message, stop_words)
     totals = (
-        counted.select(F.explode("_terms").alias("t"))
+        _each_term(counted)
         .groupBy("t.term")
         .agg(F.sum("t.tf").alias("count"), F.count(F.lit(1)).alias("df"))
         .where(F.col("df") >= min_df)
@@ -106,9 +115,7 @@ def tfidf_weights(df: DataFrame, model: TfIdf, key: str, message: str = "message
     The vocabulary is broadcast: its size is bounded by ``max_features``. Each message then comes together as
     one record holding its own weights, which is as large as the result itself.
     """
-    exploded = term_counts(df.select(key, message), message, model.stop_words).select(
-        key, F.explode("_terms").alias("t")
-    )
+    exploded = _each_term(term_counts(df.select(key, message), message, model.stop_words), key)
     weighted = exploded.join(
         F.broadcast(model.vocabulary.select("term", "idf")), F.col("t.term") == F.col("term")
     ).select(key, "term", (F.col("t.tf") * F.col("idf")).alias("w"))

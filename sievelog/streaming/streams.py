@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievelog.operators.alerts import AlertConfig, create_alerts, match_rules, payloads, route
+from sievelog.operators.cooldown import apply_cooldown
 from sievelog.operators.parse import parse_logs
 from sievelog.operators.scoring import DEFAULT_THRESHOLD, Scorer, detect
 from sievelog.session import scratch_path
@@ -68,16 +70,19 @@ def _walk(keep_seconds: int, columns: list[str]):
             state.remove()
             return
         (last,) = state.get if state.exists else (None,)
-        rows = pd.concat(list(batches)).sort_values(["t", "line_no"], kind="stable")
+        frames = list(batches)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        t, wait = rows["t"].to_numpy(), rows["wait"].to_numpy()
         going = []
-        for t, wait in zip(rows["t"].to_numpy(), rows["wait"].to_numpy()):
-            goes = last is None or t - last >= wait
-            going.append(goes)
-            last = int(t) if goes else last
+        for i in np.lexsort((rows["line_no"].to_numpy(), t)) if len(t) > 1 else (0,):
+            if last is None or t[i] - last >= wait[i]:
+                last = int(t[i])
+                going.append(i)
         state.update((last,))
         expiry = last // 1000 + keep_seconds * 1000
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[going, columns].reset_index(drop=True)
+        if going:
+            yield rows[columns].take(going)
 
     return step
 
@@ -144,35 +149,41 @@ def start_alerting(
     config: AlertConfig,
     outbox: str,
     checkpoint: str,
-    delay: str = "1 hour",
+    history: str | None = None,
+    keep_seconds: int = 2 * KEEP_STATE_SECONDS,
     **trigger,
 ) -> StreamingQuery:
     """Detection stream to outbox: alert, match, cool down, route, render, append.
 
-    The cooldown lives in the query's state store; each micro-batch writes its own folder of the outbox, so a
-    replay after a failure replaces and never repeats.
+    Each micro-batch runs the batch cooldown, started from the table of last sent times that the batch before
+    it left; that needs no Python per identity, and an identity filling a third of a batch is no one task's
+    work. Outbox and history are written to folders named by batch, so a replay replaces and never repeats.
+    Times older than ``keep_seconds`` before the newest are forgotten: identities carry the hour.
     """
-    matched = alert_stream(detected, config).where("deliverable")
-    wide = matched.withWatermark("ts", delay).withColumns(
-        {
-            "t": F.unix_micros("ts"),
-            "wait": F.col("cooldown").cast("bigint") * 1_000_000,
-        }
-    )
-    out_schema = wide.drop("t", "wait").schema
-    sent = wide.groupBy("id").applyInPandasWithState(
-        _walk(KEEP_STATE_SECONDS, out_schema.names),
-        out_schema,
-        "last bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    spark = detected.sparkSession
+    history = history or f"{outbox.rstrip('/')}-history"
+    slots = 3  # the one read, the one written, and one more for a replay
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        append_outbox(payloads(route(batch, config), config), outbox, batch_id)
+        alerts = batch.persist()
+        past = (
+            spark.read.schema("id string, ts timestamp").parquet(f"{history}/{(batch_id - 1) % slots}")
+            if batch_id > 0
+            else spark.createDataFrame([], "id string, ts timestamp")
+        )
+        sent = apply_cooldown(alerts, "id", "ts", "line_no", "cooldown", sent_before=past).persist()
+        append_outbox(payloads(route(sent, config), config), outbox, batch_id)
+        last = past.unionByName(sent.select("id", "ts")).groupBy("id").agg(F.max("ts").alias("ts"))
+        newest = last.agg(F.max("ts")).scalar()
+        recent = last.where(F.col("ts") >= newest - F.make_dt_interval(secs=F.lit(keep_seconds)))
+        recent.write.mode("overwrite").parquet(f"{history}/{batch_id % slots}")
+        sent.unpersist()
+        alerts.unpersist()
 
     return (
-        sent.writeStream.foreachBatch(deliver)
+        alert_stream(detected, config)
+        .where("deliverable")
+        .writeStream.foreachBatch(deliver)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 seconds"}))
         .start()

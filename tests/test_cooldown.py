@@ -58,3 +58,26 @@ def test_any_sequence(spark, rows):
     expected = _walk(rows)
     assert _kept(spark, rows) == expected
     assert _kept(spark, rows, limit=4, rows_per_cell=7) == expected
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_continues_from_an_earlier_run(spark, limit):
+    rnd = random.Random(9)
+    rows = sorted(((rnd.choice("ab"), rnd.randint(0, 300), rnd.choice([0, 7, 20])) for _ in range(120)), key=lambda r: r[1])
+    whole = _walk(rows)
+    first, second = rows[:60], rows[60:]
+    kept = _kept(spark, first, limit=limit)
+    last = {}
+    for i in kept:
+        last[first[i][0]] = max(last.get(first[i][0], 0), first[i][1])
+    past = spark.createDataFrame([(k, (BASE + t) * 1_000_000) for k, t in last.items()], "id string, t bigint")
+    past = past.selectExpr("id", "timestamp_micros(t) AS ts")
+    kept += [i + 60 for i in _kept(spark, second, limit=limit, sent_before=past)]
+    assert kept == whole
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_late_alerts_stay_held_back(spark, limit):
+    past = _df(spark, [("a", 100, 0)]).select("id", "ts")
+    rows = [("a", 40, 30), ("a", 99, 30), ("a", 129, 30), ("a", 130, 30), ("b", 0, 30)]
+    assert _kept(spark, rows, limit=limit, sent_before=past) == [3, 4]

@@ -62,27 +62,33 @@ def first_in_a_day(df: DataFrame, message: str = "message", ts: str = "ts", keep
 KEEP_STATE_SECONDS = 3600
 
 
-def _walk(keep_seconds: int, columns: list[str]):
-    """State function: walk one identity's new alerts in time order, remembering only the last one sent."""
+def _walk(keep_seconds: int):
+    """State function: walk a bucket's new alerts in time order, remembering when each identity was last sent."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        (last,) = state.get if state.exists else (None,)
-        frames = list(batches)
-        rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        t, wait = rows["t"].to_numpy(), rows["wait"].to_numpy()
+        last = dict(zip(*state.get)) if state.exists else {}
+        rows = pd.concat(list(batches), ignore_index=True)
+        ids, t, wait = rows["id"].to_numpy(), rows["t"].to_numpy(), rows["wait"].to_numpy()
         going = []
-        for i in np.lexsort((rows["line_no"].to_numpy(), t)) if len(t) > 1 else (0,):
-            if last is None or t[i] - last >= wait[i]:
-                last = int(t[i])
+        for i in np.lexsort((rows["line_no"].to_numpy(), t)):
+            before = last.get(ids[i])
+            if before is None or t[i] - before >= wait[i]:
+                last[ids[i]] = int(t[i])
                 going.append(i)
-        state.update((last,))
-        expiry = last // 1000 + keep_seconds * 1000
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
+        watermark = state.getCurrentWatermarkMs()
+        horizon = (watermark - keep_seconds * 1000) * 1000
+        last = {k: v for k, v in last.items() if v >= horizon}
+        if last:
+            state.update((list(last), list(last.values())))
+            expiry = max(last.values()) // 1000 + keep_seconds * 1000
+            state.setTimeoutTimestamp(max(expiry, watermark + 1))
+        elif state.exists:
+            state.remove()
         if going:
-            yield rows[columns].take(going)
+            yield rows.loc[going, ["id", "line_no", "t"]]
 
     return step
 
@@ -93,17 +99,20 @@ def stream_cooldown(
     ts: str = "ts",
     order: str = "line_no",
     keep_seconds: int = KEEP_STATE_SECONDS,
+    buckets: int = 256,
 ) -> DataFrame:
-    """Alerts past the cooldown of their identity: ``(id, line_no, ts)`` of those sent.
+    """Alerts past the cooldown of their identity, as a stream: ``(id, line_no, ts)`` of those sent.
 
-    ``matched`` is a stream of :func:`match_rules`. State is one timestamp per identity, dropped once the
-    watermark is ``keep_seconds`` past it (identities carry the hour, so none outlives one hour; never set it
-    below the longest cooldown). Rows of a trigger, and so of a group, are bounded by the source's rate limit.
+    ``matched`` is a stream of :func:`match_rules`. Identities share state by hash bucket, so a trigger calls
+    Python once per bucket and not once per identity. A time is dropped once the watermark is ``keep_seconds``
+    past it (identities carry the hour; never set it below the longest cooldown). The rows of a trigger, and so
+    of a bucket, are bounded by the source's rate limit; :func:`start_alerting` needs no such bound.
     """
     narrow = (
         matched.where("deliverable")
         .withWatermark(ts, delay)
         .select(
+            F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"),
             "id",
             F.col(order).alias("line_no"),
             F.col(ts),
@@ -111,10 +120,10 @@ def stream_cooldown(
             (F.col("cooldown").cast("bigint") * 1_000_000).alias("wait"),
         )
     )
-    sent = narrow.groupBy("id").applyInPandasWithState(
-        _walk(keep_seconds, ["id", "line_no", "t"]),
+    sent = narrow.groupBy("bucket").applyInPandasWithState(
+        _walk(keep_seconds),
         "id string, line_no bigint, t bigint",
-        "last bigint",
+        "ids array<string>, last array<bigint>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sievelog import schema
 from sievelog.operators.parse import parse_logs
 
-_BLOCK_BITS, _ROW_BITS = 16, 33
+_ROW_BITS = 33
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def _size(spark: SparkSession, name: str, default: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]?)b?", spark.conf.get(name, default).strip().lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
+def _block_bits(spark: SparkSession) -> int:
+    """Log of a length no file split falls below, so that splits of a file have different block numbers."""
+    shortest = min(
+        _size(spark, "spark.sql.files.maxPartitionBytes", "128m"),
+        _size(spark, "spark.sql.files.openCostInBytes", "4m"),
+    )
+    return max(shortest, 1).bit_length() - 1
 
 
 def _text_only(value):
@@ -24,7 +42,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     the task that read it. It is unique in the file and increasing, not consecutive.
     """
     row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
-    block = F.shiftright(F.col("_metadata.file_block_start"), _BLOCK_BITS)
+    block = F.shiftright(F.col("_metadata.file_block_start"), _block_bits(spark))
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         (F.shiftleft(block, _ROW_BITS) + row).alias("line_no"),
@@ -88,9 +106,7 @@ def stream_lines(
     )
 
 
-def _now():
-    import datetime
-
+def _now() -> datetime.datetime:
     return datetime.datetime.now(datetime.timezone.utc)
 
 

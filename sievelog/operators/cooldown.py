@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sievelog.operators.ordered import ROWS_PER_CELL, Running, add_quantile_cells, running
 from sievelog.session import checkpointed
@@ -30,7 +30,8 @@ def apply_cooldown(
     rows_per_cell: int = ROWS_PER_CELL,
     sent_before: DataFrame | None = None,
 ) -> DataFrame:
-    """Keep the alerts that are sent. ``order`` is a unique row number that also breaks ties in time.
+    """Keep the alerts that are sent. ``order`` is unique in an identity (a row number, or a struct of
+    file and row number) and also breaks ties in time.
 
     ``sent_before`` holds the last time each identity (columns ``key`` and ``ts``) was sent by an earlier run;
     alerts up to a cooldown after it, and late ones before it, are held back.
@@ -43,7 +44,7 @@ def apply_cooldown(
         F.col(order).alias("o"),
     ).where("k is not null and t is not null and c is not null")
     # of equal times under an equal cooldown only the first can be sent
-    steps = narrow.groupBy("k", "t", "c").agg(F.min("o").cast("bigint").alias("o"))
+    steps = narrow.groupBy("k", "t", "c").agg(F.min("o").alias("o"))
     # an earlier run's time comes first whatever its value
     steps = steps.withColumn("s", F.lit(1))
     if sent_before is not None:
@@ -51,7 +52,7 @@ def apply_cooldown(
             F.col(key).alias("k"),
             F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
             F.lit(0).cast("bigint").alias("c"),
-            F.lit(None).cast("bigint").alias("o"),
+            F.lit(None).cast(alerts.schema[order].dataType).alias("o"),
             F.lit(0).alias("s"),
         )
         steps = steps.unionByName(earlier)
@@ -87,9 +88,8 @@ def _without(steps: DataFrame, hot_keys: DataFrame, batches: int) -> DataFrame:
 def _walk_rows(steps: DataFrame) -> DataFrame:
     """Walk the sorted times of each identity inside its row."""
     timeline = F.sort_array(F.collect_list(F.struct("s", "t", "o", "c")))
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept")
-    )
+    none_yet = F.array().cast(T.ArrayType(steps.schema["o"].dataType))
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), none_yet.alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         goes = acc["last"].isNull() | (x["t"] - acc["last"] >= x["c"])

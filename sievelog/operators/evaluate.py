@@ -163,7 +163,7 @@ def stratified_split(
     test_size: float = 0.2,
     val_size: float = 0.1,
     seed: int = 42,
-    hash_digits: int = 3,
+    hash_digits: int = 4,
 ) -> DataFrame:
     """Add ``split``: exact shares of test and validation rows within both classes, the rest for training.
 

@@ -173,8 +173,12 @@ def start_alerting(
     history = history or f"{outbox.rstrip('/')}-history"
     slots = 3  # the one read, the one written, and one more for a replay
 
+    numbered = "line_no" in detected.columns
+
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        alerts = batch.persist()
+        # rows of a followed folder carry no number; inside a micro-batch any unique one will do
+        rows = batch if numbered else batch.withColumn("line_no", F.monotonically_increasing_id())
+        alerts = rows.persist()
         past = (
             spark.read.schema("id string, ts timestamp").parquet(f"{history}/{(batch_id - 1) % slots}")
             if batch_id > 0
@@ -190,7 +194,7 @@ def start_alerting(
         alerts.unpersist()
 
     return (
-        alert_stream(detected, config)
+        alert_stream(detected, config, ("line_no",) if numbered else ())
         .where("deliverable")
         .writeStream.foreachBatch(deliver)
         .option("checkpointLocation", checkpoint)

@@ -81,3 +81,11 @@ def test_late_alerts_stay_held_back(spark, limit):
     past = _df(spark, [("a", 100, 0)]).select("id", "ts")
     rows = [("a", 40, 30), ("a", 99, 30), ("a", 129, 30), ("a", 130, 30), ("b", 0, 30)]
     assert _kept(spark, rows, limit=limit, sent_before=past) == [3, 4]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_rows_numbered_by_file_and_line(spark, limit):
+    rows = [("a", t, 300) for t in (0, 100, 200, 300, 400, 700)]
+    df = _df(spark, rows).selectExpr("id", "ts", "cooldown", "named_struct('file', 'f', 'line', line_no) AS at")
+    kept = apply_cooldown(df, order="at", limit=limit).collect()
+    assert sorted(r["at"]["line"] for r in kept) == [0, 3, 5]

@@ -131,3 +131,21 @@ def test_counters_over_many_triggers(spark, tmp_path):
     stream = _batches(spark, tmp_path / "in", parts, "severity string, is_anomaly boolean")
     out = st.run_to_table(st.severity_counters(stream), "counter-test", "complete")
     assert [tuple(r) for r in out.collect()] == [("high", 2)]
+
+
+def test_folder_to_outbox_in_one_stream(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text(
+        "2024-03-01 10:00:00 [ERROR] auth login failed\n"
+        "2024-03-01 10:00:05 [ERROR] auth login failed\n"
+        "2024-03-01 10:02:00 [ERROR] auth login failed\n"
+        "2024-03-01 10:02:00 [INFO] auth fine\n"
+    )
+    score = F.when(F.col("message").contains("failed"), 0.95).otherwise(0.1)
+    detected = st.detect_stream(stream_lines(spark, str(folder)).drop("ingest_ts"), score)
+    outbox = str(tmp_path / "outbox")
+    query = st.start_alerting(detected, read_config(SETTINGS, {}), outbox, str(tmp_path / "cp"), availableNow=True)
+    query.awaitTermination()
+    rows = read_outbox(spark, outbox).orderBy("ts").collect()
+    assert [r["ts"] for r in rows] == [dt.datetime(2024, 3, 1, 10), dt.datetime(2024, 3, 1, 10, 2)]

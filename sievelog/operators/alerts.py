@@ -23,6 +23,7 @@ from sievelog.operators.scoring import severity
 COLOURS = {"low": "#36a64f", "medium": "#ff9900", "high": "#ff6600", "critical": "#ff0000"}
 DEFAULT_COLOUR = "#cccccc"
 
+# fixed values: message text used where the configuration names no templates
 DEFAULT_TEMPLATES = {
     "email": "Security alert detected at {timestamp}\nSeverity: {severity}\nDetails: {anomaly_details}",
     "slack": "Security Alert: {severity} severity detected at {timestamp}",

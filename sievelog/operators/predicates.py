@@ -14,6 +14,7 @@ from sievelog.functions.patterns import (
     ip_addresses,
     matched_phrases,
 )
+from sievelog.operators.lookup import spread_lookup
 
 
 def above_threshold(df: DataFrame, threshold: float, score: str = "anomaly_score") -> DataFrame:
@@ -59,9 +60,8 @@ def from_suspicious_ip(
 ) -> DataFrame:
     """Rows that mention an address on the list.
 
-    A list of literals is tested inside the row. A table of addresses (column ``ip``) is joined on the address:
-    rows are reduced to their distinct ``(key, ip)`` pairs first, and the engine decides from the measured size
-    whether to broadcast the list.
+    A list of literals is tested inside the row. A table of addresses (column ``ip``) is joined on the address,
+    the rows of one address spread by their ``key``, so an address most lines mention is not one task's work.
     """
     m = F.col(message)
     addresses = F.when(m.contains("."), ip_addresses(m))
@@ -71,5 +71,6 @@ def from_suspicious_ip(
     if key is None:
         raise ValueError("matching against a table needs the row key")
     pairs = df.select(key, F.explode(F.array_distinct(addresses)).alias("ip"))
-    hits = pairs.join(suspicious.select("ip"), "ip", "left_semi").select(key).distinct()
+    listed = suspicious.select("ip").distinct()
+    hits = spread_lookup(pairs, ["ip"], listed, [key], "left_semi").select(key).distinct()
     return df.join(hits, key, "left_semi")

@@ -9,6 +9,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sievelog.functions.vectors import cosine, with_statistics
+from sievelog.operators.lookup import SALTS, spread_lookup
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[], Callable]:
@@ -43,7 +44,7 @@ def encode_messages(
     make_predict: Callable[[], Callable] | None = None,
     out: str = "embedding",
     batch_size: int = 256,
-    salts: int = 64,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Add the vector of each message, running the encoder once per distinct message.
 
@@ -57,15 +58,8 @@ def encode_messages(
         batch_size=batch_size,
     )
     vectors = message_memo(df, message).select("message_md5", encode(F.col(message)).alias(out))
-    keyed = df.withColumns(
-        {
-            "message_md5": F.md5(F.col(message)),
-            "_salt": F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"),
-        }
-    )
-    parts = keyed.select("message_md5", "_salt").distinct()
-    spread = parts.join(vectors, "message_md5")
-    return keyed.join(spread, ["message_md5", "_salt"], "left").drop("message_md5", "_salt")
+    keyed = df.withColumn("message_md5", F.md5(F.col(message)))
+    return spread_lookup(keyed, ["message_md5"], vectors, key, salts=salts).drop("message_md5")
 
 
 def embedding_stats(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -78,9 +72,7 @@ def pair_similarity(
     """Cosine similarity of the listed pairs: two lookups by key, never all pairs."""
     a = vectors.select(F.col(key).alias(left), F.col(column).alias("_a"))
     b = vectors.select(F.col(key).alias(right), F.col(column).alias("_b"))
-    return (
-        pairs.join(a, left)
-        .join(b, right)
-        .withColumn("similarity", cosine(F.col("_a"), F.col("_b")))
-        .drop("_a", "_b")
+    both = spread_lookup(
+        spread_lookup(pairs, [left], a, [left, right], "inner"), [right], b, [left, right], "inner"
     )
+    return both.withColumn("similarity", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")

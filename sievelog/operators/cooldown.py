@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sievelog.operators.ordered import ROWS_PER_CELL, Running, add_quantile_cells, running
-from sievelog.session import checkpointed
+from sievelog.session import written
 
 LIMIT = 100_000
 HOT_PER_BATCH = 1_000_000
@@ -61,7 +61,7 @@ def apply_cooldown(
     hot = [r["n"] for r in sizes.agg(F.count(F.lit(1)).alias("n")).collect()][0]
     if hot:
         # bounded by rows / limit, and cut into batches before any of it is broadcast
-        hot_keys = checkpointed(sizes.select("k"))
+        hot_keys = written(sizes.select("k"))
         batches = -(-hot // HOT_PER_BATCH)
         sent = [_walk_rows(_without(steps, hot_keys, batches))]
         for b in range(batches):
@@ -106,7 +106,7 @@ def _walk_rows(steps: DataFrame) -> DataFrame:
 
 def _walk_rounds(steps: DataFrame, rows_per_cell: int) -> DataFrame:
     """Advance every identity by one sent alert per round."""
-    steps = checkpointed(steps)
+    steps = written(steps)
     # at most one earlier time per identity, so as bounded as the identities themselves
     earlier = steps.where("s = 0").select("k", F.col("t").alias("before"))
     steps = (
@@ -126,16 +126,16 @@ def _walk_rounds(steps: DataFrame, rows_per_cell: int) -> DataFrame:
         {"free": Running("max", free_time, inclusive=False)},
     ).where(F.col("c") > 0)
     held = F.col("free").isNotNull() & (F.col("t") - F.col("free") < F.col("c"))
-    open_steps = checkpointed(marked.where(~held).select("k", "t", "o", "c"))
+    open_steps = written(marked.where(~held).select("k", "t", "o", "c"))
 
     first = F.min(F.struct("t", "o")).alias("at")
-    state = checkpointed(open_steps.groupBy("k").agg(first))
+    state = written(open_steps.groupBy("k").agg(first))
     sent = [state]
     while True:
         ahead = open_steps.join(F.broadcast(state), "k").where(
             (F.struct("t", "o") > F.col("at")) & (F.col("t") - F.col("at.t") >= F.col("c"))
         )
-        state = checkpointed(ahead.groupBy("k").agg(first))
+        state = written(ahead.groupBy("k").agg(first))
         if state.isEmpty():
             break
         sent.append(state)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,15 +29,9 @@ def build_session(app: str = "sievelog", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
-
-    Only where the session names none (unit tests on one machine) is a temporary folder set.
-    """
+    """Folder all executors can reach: the one ``spark.checkpoint.dir`` names, else one below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="sievelog-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,3 +47,17 @@ def written(df, name: str = "step"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once per application, so that functions which run in their Python find it."""
+    context = spark.sparkContext
+    if getattr(context, "_sievelog_shipped", None):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sievelog-")) / "sievelog_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path(root.name) / file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._sievelog_shipped = True

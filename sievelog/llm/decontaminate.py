@@ -78,7 +78,9 @@ def find_hits(documents: DataFrame, windows: DataFrame, broadcast_windows: int =
     found = []
     if WINDOW in counted:
         seeds = distinct.where("mark is not null").select(F.shiftleft(F.shiftright("mark", 3), 3).alias("hash")).distinct()
-        marked = docs.select("key", *(["words"] if small else []), F.posexplode(_fresh(_window_marks(F.col("words")))).alias("i", "m"))
+        # the marks are a column of their own: a plain column is exploded inside generated code, which copies no words
+        marked = docs.select("key", "words", _fresh(_window_marks(F.col("words"))).alias("marks"))
+        marked = marked.select("key", *(["words"] if small else []), F.posexplode("marks").alias("i", "m"))
         marked = marked.where("m is not null").select(
             "key",
             *(["words"] if small else []),
@@ -121,18 +123,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
     """Per document: words, hit words, items met and their ids, and whether any word is hit."""
     windows = benchmark_windows(benchmark)
     hits = find_hits(documents, windows, broadcast_windows)
-    spans = hits.groupBy("key").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    # one pass over the hits; the items of a document's windows are looked up from there
+    found = hits.groupBy("key").agg(
+        F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("window").alias("windows")
+    )
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    spans = spans.select("key", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"))
+    found = found.select("key", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.explode("windows").alias("window"))
     owners = windows.where("item_id is not null").select("window", F.col("item_id").cast("string").alias("item")).distinct()
-    met = hits.select("key", "window").distinct().join(owners, "window").select("key", "item").distinct()
-    met = met.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    met = found.join(owners, "window", "left").groupBy("key").agg(
+        F.max("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items")
+    )
 
     docs = documents.select(
         F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h")).alias("key"),
         F.size(T.letter_words(F.col("text"))).cast("long").alias("n_words"),
     )
-    out = docs.join(spans, "key", "left").join(met, "key", "left")
+    out = docs.join(met, "key", "left")
     zero, n_hit = F.lit(0).cast("long"), F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         F.col("key.doc_id").alias("doc_id"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievelog.llm import decontaminate, fingerprints, jaccard, lines, packing, tokens
+from sievelog.llm import decontaminate, fingerprints, html, jaccard, langid, lines, packing, tokens, toxicity
 from sievelog.session import scratch_path
 
 
@@ -23,6 +23,15 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 4 == 2
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select(
+        "row.doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"), "n_hits"
+    )
+
+
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
 
@@ -43,16 +52,28 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html.extract(_table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents")).select("row.doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_toxicity": op2_toxicity,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_line_dedup": op4_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_html_text": op8_html_text,
+    "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
 }
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sievelog.llm import text as T
+from sievelog.session import written
 
 WINDOW, RUN = 10, 5
 SLOTS = WINDOW - RUN + 1
@@ -148,3 +149,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def without_hits(documents: DataFrame, benchmark: DataFrame, small: int = 1 << 20) -> DataFrame:
+    """Documents that hold no window of any item, with all their columns."""
+    found = written(find_hits(documents, benchmark_windows(benchmark)).select("key").distinct(), "hits")
+    found = F.broadcast(found) if found.count() <= small else found
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    key = F.struct(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("h")).alias("key")
+    return documents.select(row).select("row", key).join(found, "key", "left_anti").select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievelog.llm import decontaminate, fingerprints, html, jaccard, langid, lines, packing, tokens, toxicity
+from sievelog.llm import decontaminate, fingerprints, html, jaccard, langid, lines, packing, quality, tokens, toxicity
 from sievelog.session import scratch_path
 
 
@@ -42,6 +42,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "perplexity", "threshold", "keep", "n_units")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write(_table(spark, sf_dir, "documents"), path, tokenizer())
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_html_text": op8_html_text,

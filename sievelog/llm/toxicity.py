@@ -32,8 +32,8 @@ REACH = 6
 EVIDENCE = 24.0
 THRESHOLD = 0.3
 STEMS = range(4, 10)
-#: Log-odds below which a term says too little by itself.
-ODDS = 3.5
+#: Log-odds below which a word, or a stem, says too little. Words that are also quoted have lower ones.
+ODDS, STEM_ODDS = 1.5, 3.5
 SMALL_LABELS = 2_000_000
 _WORD = re.compile(r"\w+")
 _QUOTES = re.compile("[\"“”«»„]")
@@ -262,7 +262,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
         F.col("pos") * F.log(F.col("pos") / (both * share))
         + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0.0)
     )
-    sure = (F.col("pos") >= 3) & (far > ODDS) & (evidence > EVIDENCE)
+    strong = far > F.when(F.col("key").endswith("*"), STEM_ODDS).otherwise(ODDS)
+    sure = (F.col("pos") >= 3) & strong & (evidence > EVIDENCE)
     best = terms.where(sure).orderBy(F.desc(far * F.sqrt("pos")), "key").limit(16 * TERMS)
     model = Model(choose_terms([tuple(r) for r in best.collect()], n_pos, n_neg))
 

@@ -94,21 +94,23 @@ def test_toxic_terms_misspellings_and_quotation(spark, documents, clashing, noth
     rows, labels = [], []
     for i in range(600):
         words = rng.choices(plain, k=40)
-        toxic, quoting = i % 4 == 0, i % 4 == 1
+        toxic, quoting = i % 4 == 0, i % 12 == 1
         if toxic:
-            words[5:5] = ["you", "vile", rng.choice(["grumble", "snarkle"])]
+            words[5:5] = ["you", rng.choice(["grumble", "snarkle"])]
         if quoting:
             words[5:5] = ["they", "wrote", '"' + rng.choice(["grumble", "snarkle"]) + '"']
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
-    rows += [(1000, " ".join(plain[:30]) + " you vile grumbel " + " ".join(plain[30:60])), (1001, "you vile snarkIe, you vile grumbl and snarklle"), (1002, None)]
+    rows += [(1000, " ".join(plain[:30]) + " you grumbl " + " ".join(plain[30:60])), (1001, "you snarkIe, you grumbl and snarklle"), (1002, None)]
     docs, labels = (spark.createDataFrame(r, s) for r, s in ((rows, "doc_id long, text string"), (labels, "doc_id long, toxic int")))
     model = X.train(docs, labels)
     found = {r.doc_id: r for r in X.score(docs, model).select("row.doc_id", "score", "n_hits").collect()}
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
     right = [(found[i].score >= X.THRESHOLD) == (i % 4 == 0) for i in held]
     assert np.mean(right) > 0.95
-    assert found[1001].n_hits == 3 and found[1001].score > found[1002].score
+    quoted = [found[i].score < X.THRESHOLD for i in range(600) if i % 12 == 1]
+    assert np.mean(quoted) > 0.9
+    assert found[1000].n_hits >= 1 and found[1001].n_hits >= 3 and found[1001].score > found[1002].score
     assert 0 <= found[1002].score < X.THRESHOLD
     assert X.score(clashing, model).count() == documents.count()
     assert X.toxicity(nothing, labels).count() == 0

@@ -168,15 +168,22 @@ def alert_id(message: Column, source: Column, ts: Column) -> Column:
 
 
 def create_alerts(
-    detected: DataFrame, keep: Sequence[str] = (), batch: bool = True, ts: str = "ts"
+    detected: DataFrame, keep: Sequence[str] = (), batch: bool = True, ts: str = "ts", now: Column | None = None
 ) -> DataFrame:
-    """One alert per anomalous row; ``confidence`` of an alert is the raw score."""
+    """One alert per anomalous row; ``confidence`` of an alert is the raw score.
+
+    A row without a readable time is dated ``now`` (its ``ingest_ts`` if it has one, else the current time), so it
+    has an identity and passes the cooldown like any other.
+    """
+    if now is None:
+        now = F.col("ingest_ts") if "ingest_ts" in detected.columns else F.current_timestamp()
+    when = F.coalesce(F.col(ts), now.cast(detected.schema[ts].dataType))
     share = F.greatest(F.col("anomaly_score"), 1 - F.col("anomaly_score"))
     opening = "Batch anomaly detected with " if batch else "Anomaly detected with "
     metadata = F.col("metadata") if "metadata" in detected.columns else F.lit("{}")
     return detected.where("is_anomaly").select(
-        alert_id(F.col("message"), F.col("source"), F.col(ts)).alias("id"),
-        F.col(ts).alias("ts"),
+        alert_id(F.col("message"), F.col("source"), when).alias("id"),
+        when.alias("ts"),
         severity(F.col("anomaly_score")).alias("severity"),
         F.col("anomaly_score").alias("confidence"),
         F.col("message").alias("log_message"),

@@ -16,6 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_CELL = 1 << 15
+CELLS_PER_PARTITION = 4
 
 _KEY, _CELL = "_key", "_cell"
 
@@ -35,23 +36,25 @@ def add_quantile_cells(
 ) -> DataFrame:
     """Add the cell of an order value with unknown spread (times, scores), from the table's own quantiles.
 
-    One narrow job measures the count, a second one the cut points if more than one cell is needed. The cut
-    points are then constants of the plan, so every later use and every re-run of a lost task sees the same
-    cells. Accuracy of the quantiles only affects balance. A group's share of one cell is never above the
-    table's share, however large the group is.
+    One narrow job measures the count, a second one the cut points. There are at most ``CELLS_PER_PARTITION`` cells
+    for each shuffle partition, so the cut points are bounded by the session and not by the rows; a cell of more
+    rows is only longer, its windows stream. Every size takes the same path: nulls sort first, NaN last. Accuracy of
+    the quantiles only affects balance. A group's share of one cell is never above the table's share.
     """
     value = order.cast("double")
     n = df.select(value.alias("v")).where("v is not null").count()
-    parts = max(1, -(-n // rows_per_cell))
-    if parts == 1:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
+    most = CELLS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(most, max(2, -(-n // rows_per_cell)))
     shares = [i / parts for i in range(1, parts)]
-    found = df.select(F.percentile_approx(value, shares, max(10_000, parts * 10)).alias("cuts"))
-    cuts = sorted(set(found.head()["cuts"]))
+    found = df.select(F.percentile_approx(F.nanvl(value, F.lit(math.inf)), shares, 10_000 + 10 * parts).alias("cuts"))
+    cuts = sorted({c for c in found.head()["cuts"] or [] if math.isfinite(c)})
+    if not cuts:
+        # no finite value to cut at; any cut keeps the order
+        cuts = [0.0]
+    # NaN is put behind infinity by the bucketizer
     bucketizer = Bucketizer(
-        splits=[-math.inf, *cuts, math.inf], inputCol="_order_value", outputCol="_order_cell"
+        splits=[-math.inf, *cuts, math.inf], inputCol="_order_value", outputCol="_order_cell", handleInvalid="keep"
     )
-    # nulls sort first
     keyed = df.withColumn("_order_value", F.coalesce(value, F.lit(-math.inf)))
     placed = bucketizer.transform(keyed)
     return placed.withColumn(name, F.col("_order_cell").cast("bigint")).drop(
@@ -92,7 +95,9 @@ def running(
     ``cell`` must not decrease along ``order``. Per-cell totals are partial-aggregated before they move, their
     running form is a window over one row per cell, and the join back is on the partitioning the rows have.
     """
-    keyed = df.withColumns({_KEY: F.struct(*group) if group else F.struct(F.lit(0)), _CELL: cell})
+    # rows without an order value have a cell of their own before all others
+    here = F.coalesce(cell, F.lit(-1).cast("bigint"))
+    keyed = df.withColumns({_KEY: F.struct(*group) if group else F.struct(F.lit(0)), _CELL: here})
     keyed = keyed.withColumns({f"_v_{name}": m.value for name, m in measures.items()})
     values = [f"_v_{name}" for name in measures]
 

@@ -50,7 +50,7 @@ def detect_batch(spark, sf_dir):
 
 
 def anomaly_report(spark, sf_dir):
-    return predicates.anomalies_only(_detected(spark, sf_dir), 40).select("line_no", "message", "severity")
+    return predicates.anomalies_only(_detected(spark, sf_dir), 100).select("line_no", "message", "severity")
 
 
 def batch_summary(spark, sf_dir):
@@ -181,7 +181,7 @@ ORACLES = {
     "severity": f"{_W} SELECT line_no, {SEVERITY_SQL} AS severity FROM scored",
     "detect_batch": f"{_W} SELECT line_no, anomaly_score > 0.7 AS is_anomaly, anomaly_score, {SEVERITY_SQL} AS severity, "
     "round(greatest(anomaly_score, 1 - anomaly_score), 6) AS confidence, 0.7::DOUBLE AS threshold FROM scored",
-    "anomaly_report": f"{_W} SELECT line_no, substr(message, 1, 40) AS message, {SEVERITY_SQL} AS severity FROM scored WHERE anomaly_score > 0.7",
+    "anomaly_report": f"{_W} SELECT line_no, substr(message, 1, 100) AS message, {SEVERITY_SQL} AS severity FROM scored WHERE anomaly_score > 0.7",
     "batch_summary": f"{_W} SELECT count(*) AS total_processed, count(*) FILTER (anomaly_score > 0.7) AS anomalies_detected FROM scored",
     "stratified_split": f"{_W}, {_split_sql('scored', 'line_no')} SELECT line_no, label, split FROM split",
     "split_sizes": f"WITH l AS (SELECT doc_id, quality AS label FROM labels), {_split_sql('l', 'doc_id')} SELECT label, split, count(*) AS n FROM split GROUP BY ALL",

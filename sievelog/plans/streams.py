@@ -9,7 +9,7 @@ from sievelog.operators import scoring
 from sievelog.operators.alerts import create_alerts, match_rules
 from sievelog.operators.parse import parse_logs
 from sievelog.plans import alerting, parsing, traffic
-from sievelog.plans.views import entries_of, lines_of, log_lines, scored, table
+from sievelog.plans.views import entries_of, lines_of, log_entries, log_lines, scored, table
 from sievelog.plans.views_sql import SCORED
 from sievelog.session import scratch_path
 from sievelog.sources import readers, writers
@@ -61,9 +61,23 @@ def stream_sliding_window(spark, sf_dir):
     )
 
 
+def _in_order_of_time(spark, sf_dir, parts: int = 4) -> tuple[str, DataFrame]:
+    """The entries as files that follow each other in time, each a trigger of its own."""
+    path, entries = scratch_path(spark, "entries"), log_entries(spark, sf_dir).select("line_no", "message", "ts")
+    cuts = entries.select(F.percentile_approx(F.unix_micros("ts"), [i / parts for i in range(1, parts)])).head()[0]
+    part = sum(((F.unix_micros("ts") > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(parts):
+        entries.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return path, entries
+
+
 def stream_dedup_24h(spark, sf_dir):
-    fresh = st.first_in_a_day(_entry_stream(spark, sf_dir)).select("msg_md5")
-    return st.run_to_table(fresh, "stream-dedup")
+    """Messages as they would be scored anew: none kept in the 24 hours before, over several triggers."""
+    path, entries = _in_order_of_time(spark, sf_dir)
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, checkpoint = scratch_path(spark, "dedup"), scratch_path(spark, "dedup-checkpoint")
+    st.start_dedup(stream, out, checkpoint, availableNow=True).awaitTermination()
+    return spark.read.parquet(out).select("line_no", "msg_md5")
 
 
 def _hashed_score():
@@ -164,7 +178,7 @@ def write_metrics(spark, sf_dir):
     rows = scored(spark, sf_dir)
     path = scratch_path(spark, "metrics")
     writers.write_metrics(
-        {"confusion_matrix": ev.confusion_matrix(rows), "label_agreement": ev.label_agreement(rows).drop("agreement")},
+        {"confusion_matrix": ev.confusion_matrix(rows), "label_agreement": ev.label_agreement(rows)},
         path,
     )
     return spark.read.schema("section string, row string").json(path)
@@ -201,7 +215,8 @@ ORACLES = {
     "stream_cooldown": alerting.ORACLES["cooldown"],
     "stream_counts": traffic.ORACLES["severity_counts"],
     "stream_sliding_window": traffic.ORACLES["sliding_window_60_10"],
-    "stream_dedup_24h": f"WITH {SCORED} SELECT DISTINCT md5(message) AS msg_md5 FROM scored",
+    "stream_dedup_24h": f"WITH RECURSIVE {SCORED}, {alerting._walk_sql('scored', 'md5(message)', '86400')} "
+    "SELECT line_no, k AS msg_md5 FROM walk WHERE sent",
     "stream_end_to_end": _E2E
     + _ALERTS_OF_SCORED
     + alerting.ORACLES["alert_payload"][len("WITH RECURSIVE " + alerting.ALERTS) :],
@@ -214,5 +229,6 @@ ORACLES = {
     "write_csv": f"WITH {_LABELLED} SELECT * FROM labelled",
     "write_metrics": f"""WITH {SCORED} SELECT 'confusion_matrix' AS section, '{{"label":' || label || ',"pred_0":' || count(*) FILTER (prediction = 0)
  || ',"pred_1":' || count(*) FILTER (prediction = 1) || '}}' AS row FROM scored GROUP BY label
- UNION ALL SELECT 'label_agreement', '{{"total":' || count(*) || ',"correct":' || count(*) FILTER (label = prediction) || '}}' FROM scored""",
+ UNION ALL SELECT 'label_agreement', '{{"total":' || count(*) || ',"correct":' || count(*) FILTER (label = prediction)
+ || ',"agreement":' || CAST(count(*) FILTER (label = prediction) / count(*)::DOUBLE AS VARCHAR) || '}}' FROM scored""",
 }

@@ -91,9 +91,13 @@ def stream_lines(
     max_files_per_trigger: int = 1000,
     started: str | None = None,
 ) -> DataFrame:
-    """Lines of the text files arriving in a folder, as a stream of ``(file, ingest_ts, value)``.
+    """Lines of the complete text files arriving in a folder, as a stream of ``(file, ingest_ts, value)``.
 
-    ``from_end`` skips what was there at the start: only files written after ``started`` (now, if not given).
+    A file is read once: lines appended to it later are not delivered. To follow a growing file, let a log shipper
+    write its lines to a topic or roll it into new files; every operator takes any stream with a string column.
+
+    ``from_end`` skips what was there at the start: only files written after ``started``. Give the same ``started``
+    when a query restarts from its checkpoint; without it the time of this call is taken.
     """
     stream = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(path)
     if from_end:

@@ -50,13 +50,70 @@ def severity_counters(detected: DataFrame) -> DataFrame:
     return detected.where("is_anomaly").groupBy("severity").agg(F.count(F.lit(1)).alias("anomalies"))
 
 
-def first_in_a_day(df: DataFrame, message: str = "message", ts: str = "ts", keep_for: str = "24 hours") -> DataFrame:
-    """Drop messages already seen within ``keep_for``, before they are scored."""
-    return (
-        df.withWatermark(ts, keep_for)
-        .withColumn("msg_md5", F.md5(F.col(message)))
-        .dropDuplicatesWithinWatermark(["msg_md5"])
-    )
+DAY = 86_400
+
+
+def first_in_a_day(
+    df: DataFrame, message: str = "message", ts: str = "ts", order: str = "line_no", keep_for: int = DAY
+) -> DataFrame:
+    """The rows that are scored anew: no equal message was *kept* in the ``keep_for`` seconds before.
+
+    Rows without a time are always kept. Adds ``msg_md5``.
+    """
+    keyed = df.withColumn("msg_md5", F.md5(F.coalesce(F.col(message), F.lit(""))))
+    kept = apply_cooldown(keyed, "msg_md5", ts, order, keep_for)
+    return kept.unionByName(keyed.where(F.col(ts).isNull()))
+
+
+def start_dedup(
+    df: DataFrame,
+    out: str,
+    checkpoint: str,
+    message: str = "message",
+    ts: str = "ts",
+    order: str = "line_no",
+    keep_for: int = DAY,
+    **trigger,
+) -> StreamingQuery:
+    """:func:`first_in_a_day` on a stream, to parquet below ``out``.
+
+    Each micro-batch starts from the times at which messages were last kept, left by the batch before; they are
+    forgotten ``keep_for`` after the newest time that is not in the future. Rows and history are written to folders
+    named by batch, so a replay replaces and never repeats. How files fall into triggers changes nothing as long as
+    they arrive in order of time.
+    """
+    spark = df.sparkSession
+    kind = df.schema[ts].dataType.simpleString()
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        keyed = batch.withColumn("msg_md5", F.md5(F.coalesce(F.col(message), F.lit("")))).persist()
+        past = _history(spark, f"{out}-history", batch_id, f"msg_md5 string, {ts} {kind}")
+        kept = apply_cooldown(keyed, "msg_md5", ts, order, keep_for, sent_before=past)
+        kept.unionByName(keyed.where(F.col(ts).isNull())).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        # read back, not computed again
+        new = spark.read.parquet(f"{out}/batch={batch_id}").select("msg_md5", ts)
+        _remember(past.unionByName(new), "msg_md5", ts, keep_for, f"{out}-history", batch_id)
+        keyed.unpersist()
+
+    writer = df.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
+HISTORY_SLOTS = 3  # the one read, the one written, and one more for a replay
+
+
+def _history(spark, path: str, batch_id: int, kinds: str) -> DataFrame:
+    if batch_id == 0:
+        return spark.createDataFrame([], kinds)
+    return spark.read.schema(kinds).parquet(f"{path}/{(batch_id - 1) % HISTORY_SLOTS}")
+
+
+def _remember(times: DataFrame, key: str, ts: str, keep_seconds: int, path: str, batch_id: int) -> None:
+    """Write the last time of each key. A time in the future does not age the others."""
+    last = times.groupBy(key).agg(F.max(ts).alias(ts)).where(F.col(ts).isNotNull())
+    newest = last.where(F.col(ts) <= F.current_timestamp()).agg(F.max(ts)).scalar()
+    old = F.col(ts) < newest - F.make_dt_interval(secs=F.lit(keep_seconds))
+    last.where(~F.coalesce(old, F.lit(False))).write.mode("overwrite").parquet(f"{path}/{batch_id % HISTORY_SLOTS}")
 
 
 KEEP_STATE_SECONDS = 3600
@@ -167,29 +224,21 @@ def start_alerting(
     Each micro-batch runs the batch cooldown, started from the table of last sent times that the batch before
     it left; that needs no Python per identity, and an identity filling a third of a batch is no one task's
     work. Outbox and history are written to folders named by batch, so a replay replaces and never repeats.
-    Times older than ``keep_seconds`` before the newest are forgotten: identities carry the hour.
+    Times older than ``keep_seconds`` before the newest that is not in the future are forgotten: identities carry
+    the hour, and one alert dated ahead leaves the others' history alone.
     """
     spark = detected.sparkSession
     history = history or f"{outbox.rstrip('/')}-history"
-    slots = 3  # the one read, the one written, and one more for a replay
-
     numbered = "line_no" in detected.columns
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         # rows of a followed folder carry no number; inside a micro-batch any unique one will do
         rows = batch if numbered else batch.withColumn("line_no", F.monotonically_increasing_id())
         alerts = rows.persist()
-        past = (
-            spark.read.schema("id string, ts timestamp").parquet(f"{history}/{(batch_id - 1) % slots}")
-            if batch_id > 0
-            else spark.createDataFrame([], "id string, ts timestamp")
-        )
+        past = _history(spark, history, batch_id, "id string, ts timestamp")
         sent = apply_cooldown(alerts, "id", "ts", "line_no", "cooldown", sent_before=past).persist()
         append_outbox(payloads(route(sent, config), config), outbox, batch_id)
-        last = past.unionByName(sent.select("id", "ts")).groupBy("id").agg(F.max("ts").alias("ts"))
-        newest = last.agg(F.max("ts")).scalar()
-        recent = last.where(F.col("ts") >= newest - F.make_dt_interval(secs=F.lit(keep_seconds)))
-        recent.write.mode("overwrite").parquet(f"{history}/{batch_id % slots}")
+        _remember(past.unionByName(sent.select("id", "ts")), "id", "ts", keep_seconds, history, batch_id)
         sent.unpersist()
         alerts.unpersist()
 

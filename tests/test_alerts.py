@@ -126,3 +126,15 @@ def test_suppression_resets_on_the_hour(spark):
     df = spark.createDataFrame(rows, "line_no bigint, ts timestamp, message string, source string, score double")
     made = al.create_alerts(detect(df, "score", 0.5), keep=("line_no",))
     assert al.sent_alerts(made, al.read_config(SETTINGS, ENV), "line_no").count() == 2
+
+
+def test_alerts_without_a_time_are_dated_and_sent(spark):
+    rows = [("a", None, 0.95, True, "s", 1), ("b", None, 0.95, True, "s", 2)]
+    df = spark.createDataFrame(rows, "message string, ts timestamp, anomaly_score double, is_anomaly boolean, source string, line_no long")
+    made = al.create_alerts(df, keep=("line_no",))
+    assert made.where("id is null or ts is null").count() == 0
+    from sievelog.operators.cooldown import apply_cooldown
+
+    assert apply_cooldown(made.withColumn("cooldown", F.lit(60))).count() == 2
+    fixed = al.create_alerts(df, now=F.lit("2024-01-02 03:04:05").cast("timestamp")).select("ts").distinct().collect()
+    assert [str(r.ts) for r in fixed] == ["2024-01-02 03:04:05"]

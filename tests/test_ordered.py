@@ -73,3 +73,23 @@ def test_halo_shuffles_rows_once(spark):
     plan = out._jdf.queryExecution().sparkPlan().toString()
     top = plan[: plan.index("Union")]
     assert "Exchange" not in top
+
+
+def test_one_and_many_cells_agree_on_nan_infinity_and_null(spark):
+    from pyspark.sql import Window
+
+    values = [0.5, float("nan"), None, float("inf"), -float("inf"), 3.0, 0.5, None, float("nan"), -2.0, 7.0, 1.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values * 3)], "i int, v double")
+    order = [F.col("v"), F.col("i")]
+    expected = {r.i: r.n for r in df.withColumn("n", F.row_number().over(Window.orderBy(*order)) - 1).collect()}
+    for per_cell in (1, 5, 1000):
+        celled = add_quantile_cells(df, F.col("v"), per_cell)
+        assert {r.i: r.position for r in positions(celled, [], order, F.col("cell")).collect()} == expected
+    only = df.where("v is null or isnan(v)")
+    assert add_quantile_cells(only, F.col("v"), 2).count() == only.count()
+
+
+def test_rows_without_a_position_are_kept(spark):
+    df = spark.createDataFrame([("f", i if i else None) for i in range(10)], "file string, n long")
+    out = positions(df, ["file"], [F.col("n")], width_cells(F.col("n"), 3)).collect()
+    assert sorted(r.position for r in out) == list(range(10))

@@ -103,15 +103,25 @@ def test_following_from_the_end_skips_what_was_there(spark, tmp_path):
     assert [r["value"] for r in st.run_to_table(everything.select("value"), "from-start").collect()] == ["old"]
 
 
-def test_repeats_within_a_day_are_dropped(spark, tmp_path):
+def test_repeats_within_a_day_of_the_last_kept_are_dropped(spark, tmp_path):
     hour = dt.timedelta(hours=1)
-    parts = [
-        [("m", START), ("m", START + hour), ("n", START)],
-        [("m", START + 5 * hour), ("o", START + 5 * hour)],
-    ]
-    stream = _batches(spark, tmp_path / "in", parts, "message string, ts timestamp")
-    out = st.run_to_table(st.first_in_a_day(stream).select("message"), "dedup-test")
-    assert sorted(r["message"] for r in out.collect()) == ["m", "n", "o"]
+    rows = [
+        ("m", START), ("m", START + hour), ("n", START), ("m", START + 25 * hour), ("m", START + 26 * hour), ("u", None),
+        ("m", START + 48 * hour), ("o", START + 48 * hour), ("m", START + 49 * hour), ("n", START + 50 * hour),
+    ]
+    rows = [(m, t, i) for i, (m, t) in enumerate(rows)]
+    expected = [0, 2, 3, 5, 7, 8, 9]
+    kind = "message string, ts timestamp, line_no long"
+    batch = st.first_in_a_day(spark.createDataFrame(rows, kind))
+    assert sorted(r["line_no"] for r in batch.collect()) == expected
+    # however the rows fall into triggers, a row dated far ahead among them
+    for name, cuts in (("one", [10]), ("three", [3, 7, 10]), ("each", list(range(1, 11)))):
+        parts = [rows[a:b] for a, b in zip([0, *cuts], cuts)]
+        parts[0] = [*parts[0], ("future", dt.datetime(2099, 1, 1), 99)]
+        stream = _batches(spark, tmp_path / name, parts, kind)
+        out = str(tmp_path / f"{name}-out")
+        st.start_dedup(stream, out, str(tmp_path / f"{name}-checkpoint"), availableNow=True).awaitTermination()
+        assert sorted(r["line_no"] for r in spark.read.parquet(out).collect()) == [*expected, 99]
 
 
 def test_late_rows_are_dropped_from_windows(spark, tmp_path):

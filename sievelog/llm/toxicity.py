@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from sievelog.llm.encoder import _Memory
 from sievelog.session import ship_package
 
-SAMPLE, TERMS, CONTEXT = 12_000, 400, 300
+SAMPLE, TERMS, CONTEXT = 8_000, 400, 300
 REACH = 6
 #: Log-likelihood ratio from which a term is no chance find among a hundred thousand.
 EVIDENCE = 24.0
@@ -69,39 +69,43 @@ class Trie:
     def near(self, word: str, edits: int) -> tuple[str, float, int] | None:
         """The term least edits away, found by walking the word's automaton and the trie together.
 
-        A state is a trie node with the fewest edits spent to reach it; a letter matches, is wrong, is additional in
-        the word, or one is missing from it.
+        The automaton follows the word along the trie and may leave it at any letter by one edit: a letter of the
+        trie is missing from the word, stands for another one, or the word has one more. From there it goes on with
+        one edit less; without any left it can only follow.
         """
-        states = {0: 0}
-        self._skip(states, edits)
-        for letter in word:
-            after: dict[int, int] = {}
-            for at, spent in states.items():
-                if spent < edits:
-                    after[at] = min(after.get(at, 9), spent + 1)
-                for other, child in self.nodes[at].items():
-                    cost = spent + (other != letter)
-                    if cost <= edits:
-                        after[child] = min(after.get(child, 9), cost)
-            self._skip(after, edits)
-            states = after
-            if not states:
-                return None
-        found = [(spent, -self.ends[at][1], *self.ends[at]) for at, spent in states.items() if at in self.ends]
-        if not found:
-            return None
-        spent, _, term, weight, _ = min(found)
-        return term, weight, spent
-
-    def _skip(self, states: dict[int, int], edits: int) -> None:
-        todo = list(states.items())
-        while todo:
-            at, spent = todo.pop()
-            if spent < edits:
-                for child in self.nodes[at].values():
-                    if states.get(child, 9) > spent + 1:
-                        states[child] = spent + 1
-                        todo.append((child, spent + 1))
+        for spent in range(edits + 1):
+            found = [self.ends[at] for at in self._reach(0, word, 0, spent)]
+            if found:
+                term, weight, _ = max(found, key=lambda e: (e[1], e[0]))
+                return term, weight, spent
+        return None
+
+    def _reach(self, at: int, word: str, i: int, left: int) -> list[int]:
+        """Ends reached from a node and a place in the word with at most ``left`` edits."""
+        nodes, n, out = self.nodes, len(word), []
+        if not left:
+            while i < n:
+                at = nodes[at].get(word[i], -1)
+                if at < 0:
+                    return out
+                i += 1
+            return [at] if at in self.ends else out
+        while True:
+            children = nodes[at]
+            for letter, child in children.items():
+                below = nodes[child]
+                # with one edit only a child that goes on as the word does is worth a step
+                if i == n or left > 1 or word[i] in below:
+                    out += self._reach(child, word, i, left - 1)
+                if i < n and letter != word[i] and (i + 1 == n or left > 1 or word[i + 1] in below):
+                    out += self._reach(child, word, i + 1, left - 1)
+            if i == n:
+                return out + [at] if at in self.ends else out
+            out += self._reach(at, word, i + 1, left - 1)
+            at = children.get(word[i], -1)
+            if at < 0:
+                return out
+            i += 1
 
 
 def allowed_edits(word: str) -> int:

@@ -111,19 +111,22 @@ def train_classifier(spark, sf_dir):
     model = scoring.train_classifier(split.where("split = 'train'").select("message", "label"))
     held_out = split.where("split = 'test'")
     scored_docs = scoring.score_logs(held_out, model, 0.5)
-    return ev.binary_metrics(scored_docs.withColumn("prediction", F.col("is_anomaly").cast("int")))
+    report = ev.binary_metrics(scored_docs.withColumn("prediction", F.col("is_anomaly").cast("int")))
+    return report.select("num_samples", "num_anomalies", (F.col("accuracy") > 0.5).alias("learned"))
 
 
 def model_roundtrip(spark, sf_dir):
-    """Train, save, load, and score every labelled document with the loaded model."""
+    """Train, save, load: labelled documents, and how many of them both models score alike."""
     from sievelog.session import scratch_path
 
     docs = _labelled_docs(spark, sf_dir)
     path = scratch_path(spark, "classifier")
-    scoring.save_model(scoring.train_classifier(docs.select("message", "label")), path)
-    return scoring.detect(docs, scoring.load_model(path)).select(
-        "doc_id", "anomaly_score", "is_anomaly", "severity"
-    )
+    fitted = scoring.train_classifier(docs.select("message", "label"))
+    scoring.save_model(fitted, path)
+    once = scoring.detect(docs, fitted).withColumnRenamed("anomaly_score", "before")
+    twice = scoring.detect(once.drop("is_anomaly", "severity", "confidence", "threshold"), scoring.load_model(path))
+    alike = F.count_if(F.abs(F.col("anomaly_score") - F.col("before")) < 1e-9)
+    return twice.agg(F.count(F.lit(1)).alias("documents"), alike.alias("alike"))
 
 
 QUERIES = {
@@ -174,7 +177,11 @@ report AS (SELECT CAST(c AS VARCHAR) AS class, precision, recall, f1, support FR
 
 _W = f"WITH {SCORED}"
 
+_DOCS = "l AS (SELECT doc_id, toxic AS label FROM labels JOIN documents USING (doc_id))"
+
 ORACLES = {
+    "train_classifier": f"WITH {_DOCS}, {_split_sql('l', 'doc_id')} SELECT count(*) AS num_samples, CAST(sum(label) AS BIGINT) AS num_anomalies, true AS learned FROM split WHERE split = 'test'",
+    "model_roundtrip": f"WITH {_DOCS} SELECT count(*) AS documents, count(*) AS alike FROM l",
     "threshold_filter": f"{_W} SELECT line_no, anomaly_score FROM scored WHERE anomaly_score > 0.7",
     "softmax_score": f"{_W}, z AS (SELECT line_no, (line_no % 7) - 3.0::DOUBLE AS l0, score * 10 - 5 AS l1 FROM scored) "
     "SELECT line_no, round(exp(l1) / (exp(l0) + exp(l1)), 6) AS probability, CAST(l1 > l0 AS INT) AS prediction FROM z",

@@ -436,7 +436,17 @@ SELECT e.file, row_number() OVER (PARTITION BY e.file ORDER BY e.line_no) - 1 AS
  coalesce(repeated_chars, 0) AS repeated_chars, {context_columns} FROM log_entries e JOIN x USING (line_no)"""
 
 
+# words of a turn by place and sign, as the hashed encoder has them
+_VECTORS = r"""w AS (SELECT conv_id, turn, md5(unnest(regexp_extract_all(lower(text), '[^\t\n\v\f\r ]+'))) AS h FROM conversations),
+b AS (SELECT conv_id, turn, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS at, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS v FROM w GROUP BY ALL),
+l AS (SELECT conv_id, turn, sqrt(sum(v * v)) AS n FROM b GROUP BY ALL)"""
+
 ORACLES = {
+    "encode_messages": f"WITH {_VECTORS} SELECT c.conv_id, c.turn, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS embedding_norm FROM conversations c LEFT JOIN l USING (conv_id, turn)",
+    "message_similarity": f"""WITH {_VECTORS}, d AS (SELECT x.conv_id, x.turn, sum(x.v * y.v) AS dot FROM b x JOIN b y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1 AND y.at = x.at GROUP BY ALL)
+ SELECT c.conv_id, c.turn, CASE WHEN p.n > 0 AND q.n > 0 THEN round(coalesce(dot, 0) / (p.n * q.n), 6) END AS similarity FROM conversations c
+ JOIN conversations e ON e.conv_id = c.conv_id AND e.turn = c.turn + 1 LEFT JOIN l p ON p.conv_id = c.conv_id AND p.turn = c.turn
+ LEFT JOIN l q ON q.conv_id = e.conv_id AND q.turn = e.turn LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn""",
     "basic_features": f"WITH {ENTRIES} SELECT line_no, {_BASIC_SQL} FROM log_entries",
     "level_flags": f"WITH {ENTRIES} SELECT line_no, {_LEVEL_SQL} FROM log_entries",
     "temporal_features": f"WITH {ENTRIES} SELECT line_no, {_TIME_SQL} FROM log_entries",

@@ -194,9 +194,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct()
 
 
-def _involved(hashed: DataFrame, pairs: DataFrame, width: int, small: int = 1 << 20) -> DataFrame:
-    """Sets of the documents in the pairs. Up to ``small`` of them are sent to the texts, else the texts move."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+def _involved(hashed: DataFrame, ids: DataFrame, width: int, small: int = 1 << 20) -> DataFrame:
+    """Sets of the listed documents. Up to ``small`` ids are sent to the texts, else the texts move."""
+    ids = written(ids.distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= small else ids
     return written(sets_of(hashed.join(wanted, "id", "left_semi"), width), "sets")
 
@@ -222,16 +222,12 @@ def partition_groups(nodes: DataFrame, group: int, salts: int) -> DataFrame:
     return cut.withColumn("group", F.xxhash64("component", "band", part)).drop("members")
 
 
-def matrix_pairs(shared: DataFrame, nodes: DataFrame, percent: int, group: int) -> DataFrame:
-    """Pairs of sets of different components from the groups that the bound leaves open.
+def qualifying_groups(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(id, g, k, n, p): the sets and the groups of other components that the bound leaves open.
 
     The matrix has a row for each shingle and group in whose union it is. A set is counted against a whole group, once
     per shingle; the set of the smaller component is the query.
     """
-    salts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weight = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    nodes = spread_lookup(nodes, ["component"], weight, ["id"], salts=salts)
-    nodes = written(partition_groups(nodes, group, salts), "groups")
     rows = shared.select("token", "id").join(nodes, "id")
     matrix = rows.groupBy("token", "group").agg(
         F.first("component").alias("gc"), F.first("weight").alias("gw"),
@@ -246,15 +242,26 @@ def matrix_pairs(shared: DataFrame, nodes: DataFrame, percent: int, group: int)
     queries = rows.select("token", "id", "n", "p", "component", "weight")
     met = queries.join(matrix.withColumnRenamed("group", "g"), "token").where(order & sized)
     met = met.groupBy("id", "g").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("p").alias("p"))
-    members = nodes.select(F.col("group").alias("g"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    bounds = members.groupBy("g").agg(F.max(F.col("nb") - F.col("pb")).alias("rest"), F.min("nb").alias("least"))
+    rest = F.max(F.col("n") - F.col("p")).alias("rest")
+    bounds = nodes.groupBy(F.col("group").alias("g")).agg(rest, F.min("n").alias("least"))
     smallest = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))
-    qualifying = met.join(bounds, "g").withColumn("smallest", smallest).where(
-        F.col("k") + F.greatest(F.col("n") - F.col("p"), F.col("rest")) >= _needed("n", "smallest", percent)
-    )
-    opened = qualifying.select("id", "g", "k", "n", "p").join(members, "g")
-    opened = opened.where(_close("n", "nb", percent) & _enough(F.col("k"), "n", "p", "nb", "pb", percent))
-    return opened.select(F.col("id").alias("a"), "b").distinct()
+    open_ = F.col("k") + F.greatest(F.col("n") - F.col("p"), F.col("rest")) >= _needed("n", "smallest", percent)
+    return met.join(bounds, "g").withColumn("smallest", smallest).where(open_).select("id", "g", "k", "n", "p")
+
+
+def opened_links(open_groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the sets and the members of their open groups.
+
+    A group's members come together once and the sets meet them there; only links leave the join.
+    """
+    members = nodes.select(F.col("group").alias("g"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    members = members.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    asked = open_groups.join(sets.select("id", F.col("tokens").alias("ta")), "id").withColumnRenamed("g", "ga")
+    common = F.size(F.array_intersect("ta", "tb"))
+    linked = (100 + percent) * common >= percent * (F.col("n") + F.col("nb"))
+    may = _close("n", "nb", percent) & _enough(F.col("k"), "n", "p", "nb", "pb", percent)
+    met = asked.join(members, (F.col("ga") == F.col("g")) & may & linked)
+    return met.select(F.col("id").alias("a"), "b").distinct()
 
 
 def join_components(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH, group: int = GROUP) -> DataFrame:
@@ -279,15 +286,21 @@ def join_components(documents: DataFrame, percent: int = PERCENT, width: int = W
     shared = shared.withColumn("band", band)
 
     stars = written(star_pairs(shared.join(counted, "id"), percent), "stars")
-    links = written(verified(stars, _involved(hashed, stars, width), percent), "links")
+    involved = stars.select(F.explode(F.array("a", "b")).alias("id"))
+    links = written(verified(stars, _involved(hashed, involved, width), percent), "links")
     first = components(links)
 
     nodes = shared.groupBy("id").agg(*[F.first(x).alias(x) for x in ("n", "p", "band")])
     nodes = nodes.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     base = F.lit(100 / percent)
     nodes = nodes.withColumns({"low": F.floor(F.pow(base, F.col("band")) * 0.999), "high": F.ceil(F.pow(base, F.col("band") + 1) * 1.001)})
-    pairs = written(matrix_pairs(shared, nodes, percent, group), "pairs")
-    more = verified(pairs, _involved(hashed, pairs, width), percent)
+    weight = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    nodes = spread_lookup(nodes, ["component"], weight, ["id"], salts=salts)
+    nodes = written(partition_groups(nodes, group, salts), "groups")
+    open_groups = written(qualifying_groups(shared, nodes, percent), "open")
+    inside = nodes.join(open_groups.select(F.col("g").alias("group")).distinct(), "group", "left_semi").select("id")
+    sets = _involved(hashed, inside.unionByName(open_groups.select("id")), width)
+    more = written(opened_links(open_groups, nodes, sets, percent), "links")
     linked = components(links.unionByName(more))
 
     named = reps.select("digest", F.col("id").alias("rep"))

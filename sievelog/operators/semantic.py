@@ -8,7 +8,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sievelog.functions.vectors import cosine, norm, with_statistics
-from sievelog.operators.lookup import SALTS, spread_lookup
+from sievelog.operators.lookup import spread_lookup
 
 
 def hashed_vector(message: Column, dim: int = 64) -> Column:
@@ -51,7 +51,7 @@ def encode_messages(
     make_predict: Callable[[], Callable] | None = None,
     out: str = "embedding",
     batch_size: int = 256,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Add the vector of each message, running the encoder once per distinct message.
 

@@ -15,11 +15,11 @@ SELECT event_id, ts,
    WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END AS level,
  CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'svc_' || CAST(user_id % 5 AS STRING) END AS source,
  CASE event_type
-   WHEN 'error' THEN 'Failed login attempt from 10.0.' || CAST(user_id % 4 AS STRING) || '.' || CAST(user_id % 250 AS STRING) || ' - Invalid credentials'
-   WHEN 'purchase' THEN 'Database query executed: SELECT * FROM t' || CAST(user_id % 7 AS STRING) || ' - ' || CAST(CAST(floor(value) AS INT) AS STRING) || 'ms'
-   WHEN 'signup' THEN 'Email sent to user' || CAST(user_id AS STRING) || '@example.com'
-   WHEN 'view' THEN 'HTTP GET /api/v1/items/' || CAST(user_id AS STRING) || ' - Status: 200'
-   ELSE 'User user_' || CAST(user_id AS STRING) || ' logged in successfully' END AS message,
+   WHEN 'error' THEN 'Gate refused a failed login by host 10.0.' || CAST(user_id % 4 AS STRING) || '.' || CAST(user_id % 250 AS STRING) || ', wrong password'
+   WHEN 'purchase' THEN 'Report built by SELECT total FROM t' || CAST(user_id % 7 AS STRING) || ' in ' || CAST(CAST(floor(value) AS INT) AS STRING) || 'ms'
+   WHEN 'signup' THEN 'Receipt mailed to user' || CAST(user_id AS STRING) || '@example.com'
+   WHEN 'view' THEN 'Page /shop/items/' || CAST(user_id AS STRING) || ' shown with code 200'
+   ELSE 'Session opened for user_' || CAST(user_id AS STRING) || ' at the desk' END AS message,
  'f' || CAST(event_id % 8 AS STRING) AS file, event_id AS line_no,
  event_type = 'error' AS is_anomaly, round(1 - exp(-value / 50), 6) AS score
 FROM {events}

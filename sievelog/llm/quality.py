@@ -225,11 +225,11 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     trusted = documents.select("doc_id", "text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang")).where(F.length("text") > 0)
     trusted = trusted.join(good, "doc_id", "left_semi")
     seen, backed = build(trusted.where(half == 0))
-    scored = written(perplexities(documents, seen, backed, broadcast_rows), "scored")
-    left_out = scored.where(F.pmod(F.xxhash64("row.doc_id"), F.lit(2)) == 1)
-    ids = good.withColumnRenamed("doc_id", "_good")
-    left_out = left_out.join(ids, F.col("row.doc_id") == F.col("_good"), "left_semi").where("perplexity is not null")
+    left_out = documents.join(good, "doc_id", "left_semi").where(half == 1).select("doc_id", "text", "lang")
+    left_out = perplexities(left_out, seen, backed, broadcast_rows).where("perplexity is not null")
     limits = left_out.groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    limits = written(limits, "limits")
+    scored = perplexities(documents, seen, backed, broadcast_rows)
     out = scored.join(F.broadcast(limits), "model", "left")  # one row per language of trusted text
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("row", "perplexity", "threshold", keep.alias("keep"), "n_units")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sievelog.session import ship_package
 
 SAMPLE, LANGUAGES, WINDOW = 1500, 64, 200
-STEPS, HIDDEN, BATCH = 128, 16, 4096
+STEPS, HIDDEN, BATCH = 128, 16, 1024
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -48,28 +48,31 @@ class Network:
     def states(self, data: np.ndarray, direction: int) -> np.ndarray:
         """Hidden states of each step (steps x rows x H); direction 1 runs from the end."""
         rows, steps = data.shape
-        table, u = self.table[direction], self.recurrent[direction]
-        h_size = u.shape[0]
-        h = np.zeros((rows, h_size), np.float32)
-        out = np.empty((steps, rows, h_size), np.float32)
-        gates, hu = np.empty((rows, 3 * h_size), np.float32), np.empty((rows, 3 * h_size), np.float32)
+        size = self.recurrent.shape[1]
+        # the gates apart, so that every operation runs over adjoining numbers
+        tables = [np.ascontiguousarray(self.table[direction][:, k * size : (k + 1) * size]) for k in range(3)]
+        weights = [np.ascontiguousarray(self.recurrent[direction][:, k * size : (k + 1) * size]) for k in range(3)]
+        at = np.ascontiguousarray(data.T).astype(np.intp)
+        out = np.empty((steps, rows, size), np.float32)
+        h = np.zeros((rows, size), np.float32)
+        z, r, n, x = (np.empty((rows, size), np.float32) for _ in range(4))
         for t in range(steps) if direction == 0 else range(steps - 1, -1, -1):
-            np.take(table, data[:, t], axis=0, out=gates)
-            np.matmul(h, u, out=hu)
-            zr = gates[:, : 2 * h_size]
-            zr += hu[:, : 2 * h_size]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            z, r = zr[:, :h_size], zr[:, h_size:]
-            n = hu[:, 2 * h_size :]
+            for gate, table, u in ((z, tables[0], weights[0]), (r, tables[1], weights[1])):
+                np.take(table, at[t], axis=0, out=gate, mode="clip")
+                np.matmul(h, u, out=x)
+                gate += x
+                np.negative(gate, out=gate)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+            np.matmul(h, weights[2], out=n)
             n *= r
-            n += gates[:, 2 * h_size :]
+            np.take(tables[2], at[t], axis=0, out=x, mode="clip")
+            n += x
             np.tanh(n, out=n)
-            h = out[t]
             # h' = n + z (h - n)
-            np.subtract(out[t - 1] if direction == 0 and t else out[t + 1] if direction and t + 1 < steps else 0, n, out=h)
+            np.subtract(h, n, out=out[t])
+            h = out[t]
             h *= z
             h += n
         return out
@@ -78,8 +81,10 @@ class Network:
         """Label probabilities of every byte: steps x rows x L."""
         h = self.out.shape[0] // 2
         scores = self.states(data, 0) @ self.out[:h] + self.states(data, 1) @ self.out[h : 2 * h] + self.out[2 * h]
-        np.exp(scores - scores.max(-1, keepdims=True), out=scores)
-        return scores / scores.sum(-1, keepdims=True)
+        np.clip(scores, -40, 40, out=scores)
+        np.exp(scores, out=scores)
+        scores /= scores @ np.ones((scores.shape[-1], 1), np.float32)
+        return scores
 
 
 def _backward(net: Network, data: np.ndarray, states: np.ndarray, grad: np.ndarray, direction: int) -> tuple[np.ndarray, np.ndarray]:

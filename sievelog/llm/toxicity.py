@@ -1,9 +1,10 @@
 """Toxicity of documents by a learned lexicon, matched with misspellings and weighed by context.
 
-1. Terms (words, and stems of four to nine letters) are counted in labelled documents; those that toxic documents
-   hold far more often than others become the lexicon, at most ``TERMS``.
+1. Terms (words, and stems of four to nine letters) are counted in labelled documents where they are not quoted; those
+   that toxic documents hold far more often than others become the lexicon, at most ``TERMS``.
 2. The lexicon is a trie. The Levenshtein automaton of every distinct word of a text walks it, so terms are met with
-   one wrong, missing or additional letter (two in long terms). Words that clean documents use are no misspellings.
+   one wrong, missing, additional or swapped letter (two in long terms), and stems with any rest of the word. Words
+   that clean documents use about as often as toxic ones are no misspellings.
 3. A hit is weighed by the words around it: how often they surround hits of toxic rather than of other documents, and
    whether quotation marks enclose it. What is quoted is counted apart from what is said.
 4. A logistic model of these sums, fitted to the labels, gives the score.
@@ -16,15 +17,17 @@ both classes every score is 0.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sievelog.llm.encoder import _Memory
-from sievelog.session import ship_package
+from sievelog.session import ship_package, written
 
 SAMPLE, TERMS, CONTEXT = 8_000, 400, 300
 REACH = 6
@@ -32,6 +35,9 @@ REACH = 6
 EVIDENCE = 24.0
 THRESHOLD = 0.3
 STEMS = range(4, 10)
+#: Letters from which a term is met with one edit and with two, and letters that the tests before the walks look at.
+ONE_EDIT, TWO_EDITS = 4, 9
+HEAD = 8
 #: Log-odds below which a word, or a stem, says too little. Words that are also quoted have lower ones.
 ODDS, STEM_ODDS = 1.5, 3.5
 SMALL_LABELS = 2_000_000
@@ -66,51 +72,79 @@ class Trie:
                 found = end[:2]
         return found
 
-    def near(self, word: str, edits: int) -> tuple[str, float, int] | None:
+    def near(self, word: str, edits: int, swaps: bool = False) -> tuple[str, float, int] | None:
         """The term least edits away, found by walking the word's automaton and the trie together.
 
         The automaton follows the word along the trie and may leave it at any letter by one edit: a letter of the
-        trie is missing from the word, stands for another one, or the word has one more. From there it goes on with
-        one edit less; without any left it can only follow.
+        trie is missing from the word, stands for another one, or the word has one more; with ``swaps`` also two
+        neighbours in the wrong order. From there it goes on with one edit less; without any left it can only follow.
+        The end of a stem is met whatever the rest of the word.
         """
         for spent in range(edits + 1):
-            found = [self.ends[at] for at in self._reach(0, word, 0, spent)]
+            found = [self.ends[at] for at in self._reach(0, word, 0, spent, swaps)]
             if found:
                 term, weight, _ = max(found, key=lambda e: (e[1], e[0]))
                 return term, weight, spent
         return None
 
-    def _reach(self, at: int, word: str, i: int, left: int) -> list[int]:
+    def _reach(self, at: int, word: str, i: int, left: int, swaps: bool) -> list[int]:
         """Ends reached from a node and a place in the word with at most ``left`` edits."""
-        nodes, n, out = self.nodes, len(word), []
-        if not left:
-            while i < n:
-                at = nodes[at].get(word[i], -1)
-                if at < 0:
-                    return out
-                i += 1
-            return [at] if at in self.ends else out
+        nodes, ends, n, out = self.nodes, self.ends, len(word), []
         while True:
+            end = ends.get(at)
+            if end and (i == n or end[2]):
+                out.append(at)
             children = nodes[at]
-            for letter, child in children.items():
-                below = nodes[child]
-                # with one edit only a child that goes on as the word does is worth a step
-                if i == n or left > 1 or word[i] in below:
-                    out += self._reach(child, word, i, left - 1)
-                if i < n and letter != word[i] and (i + 1 == n or left > 1 or word[i + 1] in below):
-                    out += self._reach(child, word, i + 1, left - 1)
-            if i == n:
-                return out + [at] if at in self.ends else out
-            out += self._reach(at, word, i + 1, left - 1)
-            at = children.get(word[i], -1)
+            if left:
+                for letter, child in children.items():
+                    below, stops = nodes[child], child in ends
+                    # with one edit only a child that ends or goes on as the word does is worth a step
+                    if i == n or left > 1 or stops or word[i] in below:
+                        out += self._reach(child, word, i, left - 1, swaps)
+                    if i < n and letter != word[i] and (i + 1 == n or left > 1 or stops or word[i + 1] in below):
+                        out += self._reach(child, word, i + 1, left - 1, swaps)
+                if i < n:
+                    out += self._reach(at, word, i + 1, left - 1, swaps)
+                if swaps and i + 1 < n and word[i] != word[i + 1] and word[i + 1] in children:
+                    below = nodes[children[word[i + 1]]]
+                    if word[i] in below:
+                        out += self._reach(below[word[i]], word, i + 2, left - 1, swaps)
+            at = children.get(word[i], -1) if i < n else -1
             if at < 0:
                 return out
             i += 1
 
 
-def allowed_edits(word: str) -> int:
-    """Words of fewer than five letters are never misspellings; two edits would meet too many clean words."""
-    return 0 if len(word) < 5 else 1
+def allowed_edits(term: str) -> int:
+    """Edits after which a term is still met: none in terms of three letters, two in long ones."""
+    return (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS)
+
+
+def _reached(terms: list[tuple[str, float, bool]], edits: int, size: int) -> Callable[[str], bool]:
+    """Test that no word within ``edits`` of a term fails, for words of which most do.
+
+    If a word begins with letters so near to the first n of a term, both keep one string of n - edits letters when
+    ``edits`` are taken from the first n of each; n is the length of the term, ``size`` at most.
+    """
+    stems: dict[int, set[tuple[str, ...]]] = {}
+    every: dict[int, set[tuple[str, ...]]] = {}
+    for term, _, stem in terms:
+        n = min(len(term), size)
+        kept = set(combinations(term[:n], n - edits))
+        every.setdefault(n, set()).update(kept)
+        # a shorter whole term is near no word that is longer by more than the edits
+        stems.setdefault(n, set()).update(kept if stem or n == size else ())
+    rows = [(n, every[n], stems[n]) for n in sorted(every)]
+
+    def reached(word: str) -> bool:
+        for n, known, of_stems in rows:
+            if len(word) < n - edits:
+                return False
+            if not (known if len(word) <= n + edits else of_stems).isdisjoint(combinations(word[:n], n - edits)):
+                return True
+        return False
+
+    return reached
 
 
 @dataclass
@@ -124,21 +158,22 @@ class Model:
         """Strength of a lower-case word and whether it is spelt right; None for most words."""
         trie = Trie(self.terms)
         highest = max((w for _, w, _ in self.terms), default=1.0)
-        # with one edit either the first or the last two letters stay, and the length changes by one at most
-        starts, ends = {t[:2] for t, _, _ in self.terms}, {t[-2:] for t, _, _ in self.terms}
-        lengths = {len(t) + d for t, _, _ in self.terms for d in (-1, 0, 1)}
+        walks = []
+        for edits, size in ((1, HEAD), (2, TWO_EDITS)):
+            bendable = [t for t in self.terms if allowed_edits(t[0]) >= edits]
+            walks.append((edits, Trie(bendable), _reached(bendable, edits, size)))
 
         def match(word: str) -> tuple[float, bool] | None:
             exact = trie.exact(word)
             if exact:
                 return exact[1] / highest, True
-            edits = allowed_edits(word)
-            if not edits or len(word) not in lengths or word in self.clean:
-                return None
-            if word[:2] not in starts and word[-2:] not in ends:
+            if word in self.clean:
                 return None
-            near = trie.near(word, edits)
-            return (near[1] / highest / (1 + near[2]), False) if near else None
+            for edits, bent, reached in walks:
+                near = bent.near(word, edits, swaps=True) if reached(word) else None
+                if near:
+                    return near[1] / highest / (1 + near[2]), False
+            return None
 
         return _Memory(match).__getitem__
 
@@ -210,13 +245,25 @@ def _counted(rows: DataFrame, keys_of: Callable[[str], set[str]]) -> DataFrame:
     return rows.mapInArrow(run, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _said(text: str) -> set[str]:
+    """Lower-case words of a text outside quotation marks."""
+    return {w for line in text.lower().split("\n") for part in _QUOTES.split(line)[::2] for w in _WORD.findall(part)}
+
+
 def _terms_of(text: str) -> set[str]:
-    words = {w for w in _WORD.findall(text.lower()) if 3 <= len(w) <= 40}
+    words = {w for w in _said(text) if 3 <= len(w) <= 40}
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
+def _half(text: str) -> str:
+    return str(zlib.crc32(text.encode()) & 1)
+
+
 def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int, limit: int = TERMS) -> list[tuple[str, float, bool]]:
-    """Terms that speak for label 1, shortest stems first; a longer term of a kept stem is left out."""
+    """Terms that speak for label 1, strongest first; a longer stem of a kept one is left out.
+
+    Whole words are kept beside their stem, since a misspelt word can be further from the stem than from the word.
+    """
     kept: dict[str, tuple[float, bool, int]] = {}
     covered: set[str] = set()
     scored = []
@@ -227,7 +274,7 @@ def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int, lim
     for _, term, stem, odds, pos in sorted(scored, key=lambda s: (-round(s[0], 2), s[2], len(s[1]), s[1]))[: 8 * limit]:
         if len(kept) == limit:
             break
-        if term in kept or any(term[:n] in covered for n in range(1, len(term) + 1)):
+        if term in covered or stem and any(term[:n] in covered for n in range(1, len(term))):
             continue
         if stem and any(t.startswith(term) and not s and n >= 0.9 * pos for t, (_, s, n) in kept.items()):
             continue
@@ -271,15 +318,24 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     best = terms.where(sure).orderBy(F.desc(far * F.sqrt("pos")), "key").limit(16 * TERMS)
     model = Model(choose_terms([tuple(r) for r in best.collect()], n_pos, n_neg))
 
-    # words of clean documents that would pass for misspellings, then the words around hits
+    # words that would pass for misspellings but are hardly rarer in clean documents, then the words around hits
     match = model.matcher
 
     def bent(text: str) -> set[str]:
-        m = _cached(match)
-        return {w for w in set(_WORD.findall(text.lower())) if (h := m(w)) and not h[1]}
+        m, half = _cached(match), _half(text)
+        return {half + w for w in _said(text) if (h := m(w)) and not h[1]}
 
-    clean = _counted(rows.where("y = 0"), bent).where("neg > 0").orderBy(F.desc("neg"), "key").limit(100 * TERMS)
-    model.clean = frozenset(r["key"] for r in clean.collect())
+    halves = _counted(rows, bent).withColumns({"half": F.substring("key", 1, 1), "key": F.expr("substring(key, 2)")})
+
+    def clean_words(found: DataFrame) -> frozenset[str]:
+        found = found.groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        found = found.where((F.col("neg") > 0) & (far <= ODDS)).orderBy(F.desc("neg"), "key").limit(100 * TERMS)
+        return frozenset(r["key"] for r in found.collect())
+
+    # for the weights, each half is judged by the clean words of the other, since the words of a new text are new too
+    halves = written(halves, "bent")
+    others = {half: clean_words(halves.where(F.col("half") != half)) for half in "01"}
+    model.clean = clean_words(halves)
     held = spark.sparkContext.broadcast(model)
 
     def context(text: str) -> set[str]:
@@ -294,12 +350,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
             for r in near
             if r["key"]
         }
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast({half: replace(model, clean=words) for half, words in others.items()})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _cached(held.value.matcher)
+        matchers = {half: m.matcher() for half, m in held.value.items()}
         for batch in batches:
-            x = [features(hits(t.as_py(), m), held.value.around).tolist() for t in batch.column(0)]
+            texts = [(t, _half(t)) for t in batch.column(0).to_pylist()]
+            x = [features(hits(t, matchers[half]), held.value[half].around).tolist() for t, half in texts]
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     fitted = rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(measure, "x array<double>, y int")

@@ -3,8 +3,8 @@
 1. ``language_id`` drops documents without a recognisable language: no letter, no text, or a best language below
    ``MIN_LANGUAGE``.
 2. ``line_dedup`` takes repeated lines out of all documents but the one with the highest id; no document is dropped.
-3. ``near_duplicates`` keeps the document with the lowest id of every group linked by shingle similarity. Texts without
-   words have no group and stay.
+3. ``near_duplicates`` keeps the document with the lowest id of every group linked by a similarity of
+   ``NEAR_PERCENT`` over shingles of ``NEAR_WIDTH`` words. Texts without words have no group and stay.
 4. ``decontaminate`` drops documents that hold a span of a benchmark item.
 5. ``pack`` cuts what is left into token pieces and packs them.
 
@@ -20,6 +20,8 @@ from sievelog.llm.queries import tokenizer
 from sievelog.session import written
 
 MIN_LANGUAGE = 0.3
+#: Words of a shingle and least similarity of near copies; the op7 query has others of its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 SMALL_IDS = 1 << 20
 
 
@@ -42,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard.join_components(docs).where("doc_id <> component_id"))
+    return _without(docs, jaccard.join_components(docs, percent=NEAR_PERCENT, width=NEAR_WIDTH).where("doc_id <> component_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

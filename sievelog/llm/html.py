@@ -1,7 +1,9 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 Each page scores its containers by the plain text in them; boilerplate elements, and elements whose class, id or role
-names boilerplate, score nothing and are never part of a text. A container's path is the chain of tags and first
+names boilerplate, score nothing and are never part of a text. Inside an article only a class or role that is such a
+name as a whole counts and no id, and no heading counts there or in a main. Containers inside an article or main score
+for the outermost one, which is what pages vote for, so that its heading and lead stay with it. A container's path is the chain of tags and first
 classes down to it, digits removed, so pages of one template share it. Every page spreads one vote over its paths, the
 votes are summed per host in Spark, and each page is extracted again from the containers on its host's winning path,
 or from its own best one where it has none on it.
@@ -32,6 +34,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
     "th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article body center div main section td".split())
 DROPPED = frozenset(
     "aside button canvas dialog fieldset footer form head iframe input label menu nav noscript object option script "
@@ -57,6 +60,7 @@ class Container:
     path: str
     main: bool
     parent: Container | None
+    inner: bool = False
     score: float = 0.0
     texts: list[str] = field(default_factory=list)
 
@@ -84,8 +88,10 @@ class Page(HTMLParser):
             credit, container = float(plain), self._inside
             while container is not None:
                 container.texts.append(text)
-                container.score += credit * (1.2 if container.main else 1.0)
-                credit *= 0.3 if container.main else 0.6
+                # what is inside an article scores for the outermost one only
+                if not container.inner:
+                    container.score += credit * (1.2 if container.main else 1.0)
+                    credit *= 0.3 if container.main else 0.6
                 container = container.parent
         self._block, self._linked = [], 0
 
@@ -98,6 +104,10 @@ class Page(HTMLParser):
         values = [v for k, v in attrs if k in ("class", "id", "role") and v]
         if any(k == "hidden" for k, _ in attrs) or any(k == "aria-hidden" and v == "true" for k, v in attrs):
             return True
+        if tag in HEADINGS and (self._inside.inner or self._inside.main):
+            return False
+        if values and any(t == "article" for t, _, _ in self._open):
+            return any(p.lower() in NAMES for k, v in attrs if k in ("class", "role") and v for p in v.split())
         return any(p.lower() in NAMES for v in values for p in _PARTS.findall(v))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -113,7 +123,8 @@ class Page(HTMLParser):
             step = _DIGITS.sub("", f"{tag}.{first}" if first else tag)
             role = any(k == "role" and v == "main" for k, v in attrs)
             path = f"{self._inside.path}/{step}"
-            opened = Container(path, tag in ("article", "main") or role, self._inside)
+            inner = self._inside.inner or self._inside.main
+            opened = Container(path, tag in ("article", "main") or role, self._inside, inner)
             if len(path) <= LONG_PATH:
                 self.containers.append(opened)
                 self._inside = opened

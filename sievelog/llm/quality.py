@@ -6,8 +6,9 @@ model grows with the trusted text and is built in shards. The units are characte
 the tables of word runs that documents meet would exceed the documents themselves.
 
 A document's perplexity is taken under its own language's model; one without a language, or of a language without
-trusted text, is given the least over all models. A document is kept unless its perplexity is above the ``QUANTILE``
-of the trusted documents of its language that were left out of training. Null and empty texts have no perplexity and
+trusted text, is given the least over all models. A document is kept unless its perplexity is above a quantile of the
+trusted documents of its language that were left out of training: the one of ``QUANTILES`` that keeps most of them and
+catches most documents labelled 0 (the sum of both shares), and ``QUANTILE`` where a language has no such label. Null and empty texts have no perplexity and
 are kept, as is everything if there is no trusted text.
 """
 
@@ -22,18 +23,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sievelog.session import ship_package, written
 
 ORDER = 5
-#: Bits of a character; those beyond the first 3072 share the other 1024 codes.
-BITS, PLAIN = 12, 3072
-QUANTILE = 0.999
+#: Bits of a code. Characters from ``PLAIN`` on take two codes, those from ``FAR`` on three, made of the other 1023.
+BITS, PLAIN, FAR = 12, 3072, 1 << 18
+LOW, HIGH, ESCAPE = PLAIN + 1, PLAIN + 513, PLAIN + 1019
+QUANTILES = (0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999)
+QUANTILE = 0.99
 BROADCAST_ROWS = 4_000_000
 SMALL_LABELS = 2_000_000
 NO_LANGUAGE = "und"
 
 
 def codes(text: str) -> np.ndarray:
-    """Character codes from 1 on, white space runs as one space."""
+    """Character codes from 1 on, white space runs as one space; no two characters share theirs."""
     points = np.frombuffer(" ".join(text.split()).encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.where(points < PLAIN, points, PLAIN + points % ((1 << BITS) - PLAIN - 1)) + 1 * (points >= PLAIN)
+    wide, far = points >= PLAIN, points >= FAR
+    if not wide.any():
+        return points
+    size = 1 + wide + far
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.int64)
+    out[at[~wide]] = points[~wide]
+    rest, begin = points[wide & ~far] - PLAIN, at[wide & ~far]
+    out[begin], out[begin + 1] = HIGH + rest // 512, LOW + rest % 512
+    rest, begin = points[far] - FAR, at[far]
+    out[begin], out[begin + 1], out[begin + 2] = ESCAPE + (rest >> 18), LOW + (rest >> 9 & 511), LOW + (rest & 511)
+    return out
 
 
 def runs(c: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -196,7 +210,9 @@ def _scored_by_joins(rows: DataFrame, seen: list[DataFrame], backed: list[DataFr
     for part in parts[1:]:
         out = out.unionByName(part)
     totals = out.groupBy("id", "lang").agg(F.sum("part").alias("total")).groupBy("id").agg(F.max(F.struct("total", "lang")).alias("b"))
-    sizes = keyed.withColumn("n_units", F.char_length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))).cast("long"))
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))
+    more = [F.char_length(F.regexp_replace(plain, rf"[^\x{{{first:x}}}-\x{{10FFFF}}]+", "")) for first in (PLAIN, FAR)]
+    sizes = keyed.withColumn("n_units", (F.char_length(plain) + more[0] + more[1]).cast("long"))
     joined = sizes.join(totals, "id", "left")
     return joined.select("row", F.coalesce("b.lang", "lang").alias("model"), F.col("b.total").alias("total"), "n_units")
 
@@ -213,22 +229,39 @@ def perplexities(documents: DataFrame, seen: list[DataFrame], backed: list[DataF
     return scored.select("row", "model", F.exp(-F.col("total") / F.col("n_units")).alias("perplexity"), "n_units")
 
 
+def thresholds(left_out: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(model, threshold) from (model, perplexity, quality) of labelled documents that did not train the model."""
+    left_out = written(left_out, "judged")
+    tried = [*QUANTILES, quantile]
+    good = F.when(F.col("quality") == 1, F.col("perplexity"))
+    limits = left_out.groupBy("model").agg(F.percentile_approx(good, tried, 10_000).alias("limits")).where("limits is not null")
+    rows = left_out.join(F.broadcast(limits), "model")  # one row per language of trusted text
+    kept = [F.avg((good <= F.col("limits")[k]).cast("int")) for k in range(len(QUANTILES))]
+    bad = F.when(F.col("quality") == 0, F.col("perplexity"))
+    caught = [F.avg((bad > F.col("limits")[k]).cast("int")) for k in range(len(QUANTILES))]
+    # of equal sums the highest quantile counts
+    sums = [F.struct(F.round(a + b, 9).alias("sum"), F.lit(k).alias("k")) for k, (a, b) in enumerate(zip(kept, caught))]
+    best = rows.groupBy("model").agg(F.greatest(*sums).alias("best"), F.first("limits").alias("limits"), F.count(bad).alias("n_bad"))
+    chosen = F.when(F.col("n_bad") > 0, F.col("limits")[F.col("best.k")]).otherwise(F.col("limits")[len(QUANTILES)])
+    return best.select("model", chosen.alias("threshold"))
+
+
 def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(row, perplexity, threshold, keep) of every document.
 
-    Half of the documents of quality 1, by a hash of the id, train the model; the other half set the thresholds.
+    Half of the documents of quality 1, by a hash of the id, train the model; the other half and the documents of
+    quality 0 set the thresholds. ``quantile`` holds for languages without a document of quality 0.
     """
     ship_package(documents.sparkSession)
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    good = F.broadcast(good) if good.count() <= SMALL_LABELS else good
+    judged = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    judged = F.broadcast(judged) if judged.count() <= SMALL_LABELS else judged
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    trusted = documents.select("doc_id", "text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang")).where(F.length("text") > 0)
-    trusted = trusted.join(good, "doc_id", "left_semi")
-    seen, backed = build(trusted.where(half == 0))
-    left_out = documents.join(good, "doc_id", "left_semi").where(half == 1).select("doc_id", "text", "lang")
+    known = documents.select("doc_id", "text", "lang").join(judged, "doc_id")
+    trusted = known.where((F.col("quality") == 1) & (half == 0) & (F.length("text") > 0))
+    seen, backed = build(trusted.select("text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang")))
+    left_out = known.where((F.col("quality") == 0) | (half == 1))
     left_out = perplexities(left_out, seen, backed, broadcast_rows).where("perplexity is not null")
-    limits = left_out.groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    limits = written(limits, "limits")
+    limits = written(thresholds(left_out.select("model", "perplexity", "row.quality"), quantile), "limits")
     scored = perplexities(documents, seen, backed, broadcast_rows)
     out = scored.join(F.broadcast(limits), "model", "left")  # one row per language of trusted text
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))

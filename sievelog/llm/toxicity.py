@@ -1,7 +1,7 @@
 """Toxicity of documents by a learned lexicon, matched with misspellings and weighed by context.
 
 1. Terms (words, and stems of four to nine letters) are counted in labelled documents where they are not quoted; those
-   that toxic documents hold far more often than others become the lexicon, at most ``TERMS``.
+   that toxic documents hold far more often than others become the lexicon; the evidence for a term alone decides.
 2. The lexicon is a trie. The Levenshtein automaton of every distinct word of a text walks it, so terms are met with
    one wrong, missing, additional or swapped letter (two in long terms), and stems with any rest of the word. Words
    that clean documents use about as often as toxic ones are no misspellings.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from sievelog.llm.encoder import _Memory
 from sievelog.session import ship_package, written
 
-SAMPLE, TERMS, CONTEXT = 8_000, 400, 300
+SAMPLE, CONTEXT = 12_000, 300
 REACH = 6
 #: Log-likelihood ratio from which a term is no chance find among a hundred thousand.
 EVIDENCE = 24.0
@@ -259,29 +259,31 @@ def _half(text: str) -> str:
     return str(zlib.crc32(text.encode()) & 1)
 
 
-def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int, limit: int = TERMS) -> list[tuple[str, float, bool]]:
+def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> list[tuple[str, float, bool]]:
     """Terms that speak for label 1, strongest first; a longer stem of a kept one is left out.
 
     Whole words are kept beside their stem, since a misspelt word can be further from the stem than from the word.
     """
-    kept: dict[str, tuple[float, bool, int]] = {}
+    kept: dict[str, tuple[float, bool]] = {}
+    # of the words kept under a stem, in how many toxic documents the most frequent one is
+    whole: dict[str, int] = {}
     covered: set[str] = set()
     scored = []
     for key, pos, neg in counts:
         odds = float(np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)))
         scored.append((odds * np.sqrt(pos), key.rstrip("*"), key.endswith("*"), odds, pos))
     # words before stems of the same letters, so that a term which is always whole stays whole
-    for _, term, stem, odds, pos in sorted(scored, key=lambda s: (-round(s[0], 2), s[2], len(s[1]), s[1]))[: 8 * limit]:
-        if len(kept) == limit:
-            break
+    for _, term, stem, odds, pos in sorted(scored, key=lambda s: (-round(s[0], 2), s[2], len(s[1]), s[1])):
         if term in covered or stem and any(term[:n] in covered for n in range(1, len(term))):
             continue
-        if stem and any(t.startswith(term) and not s and n >= 0.9 * pos for t, (_, s, n) in kept.items()):
+        if stem and whole.get(term, 0) >= 0.9 * pos and term in whole:
             continue
-        kept[term] = (odds, stem, pos)
+        kept[term] = (odds, stem)
         if stem:
             covered.add(term)
-    return [(t, w, s) for t, (w, s, _) in sorted(kept.items())]
+        for n in () if stem else STEMS:
+            whole[term[:n]] = max(whole.get(term[:n], 0), pos)
+    return [(t, w, s) for t, (w, s) in sorted(kept.items())]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -315,7 +317,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     )
     strong = far > F.when(F.col("key").endswith("*"), STEM_ODDS).otherwise(ODDS)
     sure = (F.col("pos") >= 3) & strong & (evidence > EVIDENCE)
-    best = terms.where(sure).orderBy(F.desc(far * F.sqrt("pos")), "key").limit(16 * TERMS)
+    best = terms.where(sure)
     model = Model(choose_terms([tuple(r) for r in best.collect()], n_pos, n_neg))
 
     # words that would pass for misspellings but are hardly rarer in clean documents, then the words around hits
@@ -329,7 +331,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
 
     def clean_words(found: DataFrame) -> frozenset[str]:
         found = found.groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        found = found.where((F.col("neg") > 0) & (far <= ODDS)).orderBy(F.desc("neg"), "key").limit(100 * TERMS)
+        found = found.where((F.col("neg") > 0) & (far <= ODDS))
         return frozenset(r["key"] for r in found.collect())
 
     # for the weights, each half is judged by the clean words of the other, since the words of a new text are new too

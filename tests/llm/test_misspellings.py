@@ -54,3 +54,9 @@ def test_misspelling_that_a_clean_document_holds_once_still_counts(spark):
     assert np.mean([(found[i].score >= X.THRESHOLD) == (i % 4 == 0) for i in held]) > 0.95
     match = model.matcher()
     assert match("grumbel") and match("snarkel") and found[1000].n_hits >= 1 and found[1001].n_hits >= 1
+
+
+def test_evidence_alone_bounds_the_lexicon():
+    words = [f"{a}{b}{c}word" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"]
+    assert len(X.choose_terms([(w, 60, 0) for w in words], 9_000, 9_000)) == len(words) == 512
+    assert X.SAMPLE == 12_000

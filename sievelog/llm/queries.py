@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievelog.llm import decontaminate, fingerprints, html, jaccard, langid, lines, packing, quality, tokens, toxicity
+from sievelog.llm import (
+    decontaminate,
+    fim,
+    fingerprints,
+    html,
+    jaccard,
+    langid,
+    lines,
+    packing,
+    periods,
+    quality,
+    token_counts,
+    tokens,
+    toxicity,
+)
 from sievelog.session import scratch_path
 
 
@@ -12,11 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     """The public vocabulary the token queries are fixed to."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +84,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periods.periodic_runs(docs.withColumn("text", periods.repeat_tail(F.col("text"), h)))
+    best = periods.longest_run(F.col("runs"))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]))
+    lines_ = F.array_join(F.transform(listed, lambda x: F.concat(x, F.lit("\n"))), "")
+    found = found.select("row.doc_id", "runs", best.alias("best"), F.sha2(lines_, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = token_counts.own_cache(spark, tokenizer("byte_bpe_50k.json"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), cache)
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -81,6 +118,9 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_counts": op13_token_counts,
 }
 
 _OP10 = r"""
@@ -119,4 +159,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
-ORACLES = {"op4_line_dedup": _OP4, "op10_decontamination": _OP10}
+_OP11 = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+draws AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2,
+ CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM texts),
+cuts AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+ WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+made AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM made
+"""
+
+ORACLES = {"op4_line_dedup": _OP4, "op10_decontamination": _OP10, "op11_fill_in_middle": _OP11}

@@ -4,13 +4,17 @@ Documents with 100 * common >= 85 * all shingles of four words are linked; the r
 every document. Equal sets collapse first. Shingles are ordered by the frequency of their rarest word, then by hash,
 and two linked sets share a shingle among the first 15 % of either, so only sets that meet there are looked at.
 
-1. *Stars*: where sets meet, each is compared with the one that has the fewest unshared shingles. That links most of a
-   large group of copies in one comparison per member.
-2. *Matrix*: the sets are partitioned into groups of similar ones, at most ``GROUP`` of a component found so far, and
-   each group keeps the union of its members' shingles. A set is weighed against a whole group: if it shares too few
-   shingles with the union, no member can be linked to it. Only the qualifying groups are opened and their members
+1. *Stars*: where sets meet, each is held against the one that has the fewest unshared shingles. That joins most of a
+   large group of copies with one comparison per member, and so forms the groups.
+2. *Matrix*: the sets are partitioned into groups of similar ones, at most about ``GROUP`` of a component found so far,
+   and each group keeps the union of its members' whole sets. A set is weighed against a whole group: if it shares too
+   few shingles with the union, no member can be linked to it. Only the qualifying groups are opened and their members
    compared. Sets already in one component are never compared again.
 
+Before any set moves, overlaps are bounded by *counts*: the number of a set's shingles in each of ``n / 4`` to ``n / 2``
+hash buckets, one byte each. Summed minima of two sets' counts are at least what they share, and of a set's counts and
+the largest ones in a group at least what it shares with any member. What this leaves is weighed against the union itself.
+
 No link is lost: a pair is skipped only if it is already connected or if a bound excludes it.
 
 Words are runs of anything but ASCII white space, lower-cased in A-Z. A text of fewer than four words has one shingle,
@@ -89,6 +93,42 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def bucket_counts(text: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """Shingles of each text by hash bucket, a byte each. None without shingles, or if a bucket holds more than a byte can."""
+    bits = np.maximum(np.ceil(np.log2(np.maximum(n, 1) / 4)), 0).astype(np.uint64)
+    size = np.left_shift(np.uint64(1), bits).astype(np.int64)
+    ends = np.cumsum(size)
+    # a shift by all 64 bits is none, so halve first
+    bucket = ((shingle.view(np.uint64) >> np.uint64(1)) >> (np.uint64(63) - bits[text])).astype(np.int64)
+    counts = np.bincount((ends - size)[text] + bucket, minlength=int(ends[-1]) if len(ends) else 0)
+    fits = np.maximum.reduceat(counts, ends - size) <= 255 if len(ends) else []
+    narrow = counts.astype(np.uint8)
+    return [narrow[e - k : e].tobytes() if ok and x else None for e, k, ok, x in zip(ends, size, fits, n)]
+
+
+def folded(counts: np.ndarray, size: int) -> np.ndarray:
+    """Counts in fewer buckets; neighbouring ones are added."""
+    return counts.reshape(size, -1).sum(1) if len(counts) > size else counts
+
+
+def most_shared(a: bytes | None, b: bytes | None) -> float:
+    """At least what two sets, or a set and any member of a group, share."""
+    if a is None or b is None:
+        return np.inf
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return float(np.minimum(folded(x.astype(np.int64), size), folded(y.astype(np.int64), size)).sum())
+
+
+def largest_counts(members: list[bytes | None]) -> bytes | None:
+    """Of each bucket the most shingles that a member has there; none if any member has no counts."""
+    if any(m is None for m in members):
+        return None
+    size = min(map(len, members))
+    most = np.max([folded(np.frombuffer(m, np.uint8).astype(np.int64), size) for m in members], axis=0)
+    return most.astype(np.uint8).tobytes() if most.max() <= 255 else None
+
+
 def common_words(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and document frequencies of the words above a frequency that at most ``COMMON`` words can reach."""
     counts = hashed.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
@@ -100,7 +140,7 @@ def common_words(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(hashed: DataFrame, percent: int, width: int) -> DataFrame:
-    """(id, n, digest, prefix): set size, digest of the set and its first shingles in the global order."""
+    """(id, n, digest, counts, prefix): set size, digest, bucket counts and the first shingles in the global order."""
     ship_package(hashed.sparkSession)
     held = hashed.sparkSession.sparkContext.broadcast(common_words(hashed))
 
@@ -135,12 +175,13 @@ def prefixes(hashed: DataFrame, percent: int, width: int) -> DataFrame:
                         batch.column("id").slice(row, to - row),
                         pa.array(n, pa.int64()),
                         pa.array(digests, pa.binary()),
+                        pa.array(bucket_counts(text, shingle, n), pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(shingle[inside], pa.int64())),
                     ],
-                    ["id", "n", "digest", "prefix"],
+                    ["id", "n", "digest", "counts", "prefix"],
                 )
 
-    return hashed.mapInArrow(run, "id long, n long, digest binary, prefix array<bigint>")
+    return hashed.mapInArrow(run, "id long, n long, digest binary, counts binary, prefix array<bigint>")
 
 
 def sets_of(hashed: DataFrame, width: int) -> DataFrame:
@@ -194,6 +235,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b").distinct()
 
 
+def plausible(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose counts allow the similarity. ``counts`` has (id, n, counts)."""
+    left = counts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    right = counts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return _allowed(joined.withColumn("need", _needed("na", "nb", percent)), "ca", "cb").select("a", "b")
+
+
+def _allowed(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows whose two counts allow the shared shingles of column ``need``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = batch.column("need").to_pylist()
+            good = [most_shared(*both) >= k for *both, k in zip(batch.column(x).to_pylist(), batch.column(y).to_pylist(), need)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _involved(hashed: DataFrame, ids: DataFrame, width: int, small: int = 1 << 20) -> DataFrame:
     """Sets of the listed documents. Up to ``small`` ids are sent to the texts, else the texts move."""
     ids = written(ids.distinct(), "ids")
@@ -243,25 +304,46 @@ def qualifying_groups(shared: DataFrame, nodes: DataFrame, percent: int) -> Data
     met = queries.join(matrix.withColumnRenamed("group", "g"), "token").where(order & sized)
     met = met.groupBy("id", "g").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("p").alias("p"))
     rest = F.max(F.col("n") - F.col("p")).alias("rest")
-    bounds = nodes.groupBy(F.col("group").alias("g")).agg(rest, F.min("n").alias("least"))
+    # a group is bounded, and so are its members' counts
+    bounds = nodes.groupBy(F.col("group").alias("g")).agg(rest, F.min("n").alias("least"), F.collect_list("held").alias("members"))
     smallest = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))
-    open_ = F.col("k") + F.greatest(F.col("n") - F.col("p"), F.col("rest")) >= _needed("n", "smallest", percent)
-    return met.join(bounds, "g").withColumn("smallest", smallest).where(open_).select("id", "g", "k", "n", "p")
+    open_ = F.col("k") + F.greatest(F.col("n") - F.col("p"), F.col("rest")) >= F.col("need")
+    # only groups that are asked have their counts summed up
+    asked = bounds.join(met.select("g").distinct(), "g", "left_semi")
+    met = met.join(_group_counts(asked), "g").join(nodes.select("id", F.col("held.counts").alias("counts")), "id")
+    met = met.withColumn("smallest", smallest).withColumn("need", _needed("n", "smallest", percent)).where(open_)
+    return _allowed(met.select("id", "g", "k", "n", "p", "need", "counts", "most"), "counts", "most").drop("most")
 
 
-def opened_links(open_groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the sets and the members of their open groups.
+def _group_counts(bounds: DataFrame) -> DataFrame:
+    """Replace ``members`` by ``most``: of each bucket the most shingles of a member."""
 
-    A group's members come together once and the sets meet them there; only links leave the join.
-    """
-    members = nodes.select(F.col("group").alias("g"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    members = members.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    asked = open_groups.join(sets.select("id", F.col("tokens").alias("ta")), "id").withColumnRenamed("g", "ga")
-    common = F.size(F.array_intersect("ta", "tb"))
-    linked = (100 + percent) * common >= percent * (F.col("n") + F.col("nb"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = [largest_counts([m["counts"] for m in row]) for row in batch.column("members").to_pylist()]
+            yield pa.record_batch([*(batch.column(c) for c in ("g", "rest", "least")), pa.array(most, pa.binary())], ["g", "rest", "least", "most"])
+
+    return bounds.select("g", "rest", "least", "members").mapInArrow(run, "g long, rest long, least long, most binary")
+
+
+def weighed(open_groups: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (id, g) whose set shares enough with the union of the group's sets."""
+    named = open_groups.select("g").distinct()
+    members = nodes.select(F.col("group").alias("g"), "id").join(named, "g", "left_semi").join(sets, "id")
+    unions = members.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+    met = open_groups.join(sets, "id").join(unions, "g")
+    return met.where(F.size(F.array_intersect("tokens", "union")) >= F.col("need")).select("id", "g", "k", "n", "p", "counts")
+
+
+def opened_pairs(open_groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a set and a member of one of its open groups that the bounds allow."""
+    members = nodes.select(
+        F.col("group").alias("g"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("held.counts").alias("most")
+    )
     may = _close("n", "nb", percent) & _enough(F.col("k"), "n", "p", "nb", "pb", percent)
-    met = asked.join(members, (F.col("ga") == F.col("g")) & may & linked)
-    return met.select(F.col("id").alias("a"), "b").distinct()
+    met = open_groups.join(members, "g").where(may).withColumn("need", _needed("n", "nb", percent))
+    met = met.select(F.col("id").alias("a"), "b", "need", "counts", "most")
+    return _allowed(met, "counts", "most").select("a", "b").distinct()
 
 
 def join_components(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH, group: int = GROUP) -> DataFrame:
@@ -275,7 +357,7 @@ def join_components(documents: DataFrame, percent: int = PERCENT, width: int = W
 
     # one set of each digest
     reps = every.where("n > 0 and id is not null").groupBy("digest").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix")
     )
     reps = written(reps, "sets")
     postings = reps.select("id", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
@@ -285,7 +367,8 @@ def join_components(documents: DataFrame, percent: int = PERCENT, width: int = W
     counted = shared.groupBy("id").agg((F.first("p") - F.count(F.lit(1))).alias("solo"))
     shared = shared.withColumn("band", band)
 
-    stars = written(star_pairs(shared.join(counted, "id"), percent), "stars")
+    counts = reps.select("id", "n", "counts")
+    stars = written(plausible(star_pairs(shared.join(counted, "id"), percent), counts, percent), "stars")
     involved = stars.select(F.explode(F.array("a", "b")).alias("id"))
     links = written(verified(stars, _involved(hashed, involved, width), percent), "links")
     first = components(links)
@@ -296,11 +379,13 @@ def join_components(documents: DataFrame, percent: int = PERCENT, width: int = W
     nodes = nodes.withColumns({"low": F.floor(F.pow(base, F.col("band")) * 0.999), "high": F.ceil(F.pow(base, F.col("band") + 1) * 1.001)})
     weight = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
     nodes = spread_lookup(nodes, ["component"], weight, ["id"], salts=salts)
-    nodes = written(partition_groups(nodes, group, salts), "groups")
+    nodes = partition_groups(nodes, group, salts).join(counts.select("id", F.struct("counts").alias("held")), "id")
+    nodes = written(nodes, "groups")
     open_groups = written(qualifying_groups(shared, nodes, percent), "open")
     inside = nodes.join(open_groups.select(F.col("g").alias("group")).distinct(), "group", "left_semi").select("id")
     sets = _involved(hashed, inside.unionByName(open_groups.select("id")), width)
-    more = written(opened_links(open_groups, nodes, sets, percent), "links")
+    pairs = written(opened_pairs(weighed(open_groups, nodes, sets), nodes, percent), "pairs")
+    more = written(verified(pairs, sets, percent), "links")
     linked = components(links.unionByName(more))
 
     named = reps.select("digest", F.col("id").alias("rep"))

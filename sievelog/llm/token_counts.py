@@ -28,6 +28,7 @@ import re
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -36,37 +37,41 @@ from sievelog.operators.lookup import spread_lookup
 from sievelog.session import scratch_path, ship_package, written
 
 LIMIT = 1024
-PIECES = 400_000
-LONG_PIECE = 64
+STRETCHES = 1_000_000
+LONG_STRETCH = 64
+WORDS_AT_ONCE = 1000
+BATCH_CHARS = 1 << 20
 #: Misses up to this number, of 32 bytes each, are sent to the documents.
 SMALL = 1 << 16
 STORED = "digest binary, n_tokens long"
 
-_PLAIN = "[!-~À-ɏ]"
-#: Places no piece of a byte-level tokenizer reaches across: before a single space, and around a single line break.
-_CUTS = re.compile(f"(?<={_PLAIN})(?=[ \n]{_PLAIN})|(?<={_PLAIN}\n)(?={_PLAIN})")
+#: Characters about whose being white space patterns differ, and white space other than blanks and line breaks.
+_ODD = re.compile("[^\\S \n]|[\x1c-\x1f\x85\u180e\u200b-\u200f\u2028-\u202f\u2060\ufeff]")
+#: Stretches that no piece of a byte-level tokenizer reaches across: a piece never goes on from a character to a blank or
+#: line break after it, nor from a letter to the punctuation after it.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_STRETCHES = re.compile(f"[ \n]*[{_LETTERS}]+(?=[.,;:!?])|[ \n]*[^ \n]+|[ \n]+")
+_WORD = re.compile(f" [{_LETTERS}]+")
 
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str):
-    """A function from text to its number of tokens, one per worker process and file."""
+    """A function from texts to their numbers of tokens, one per worker process and file."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda text: len(model.encode(text, num_threads=1))
+        return lambda texts: [len(model.encode(t, num_threads=1)) for t in texts]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-
-    def whole(text: str) -> int:
-        return len(tokenizer.encode(text, add_special_tokens=False).ids)
-
     with open(path) as f:
         config = json.load(f)
-    return PieceCounter(whole) if _splits_at_spaces(config) else whole
+    if _splits_at_spaces(config):
+        return StretchCounter(tokenizer)
+    return lambda texts: [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def _splits_at_spaces(config: dict) -> bool:
@@ -80,24 +85,33 @@ def _splits_at_spaces(config: dict) -> bool:
     )
 
 
-class PieceCounter:
-    """Sums the library's counts of the stretches between safe cuts, remembering short ones, at most ``PIECES``."""
+class StretchCounter:
+    """Sums the library's counts of the stretches of texts, remembering those of short ones, at most about ``STRETCHES``.
+
+    Unknown single words are encoded together, many at a time, and their tokens counted by the piece they come from.
+    """
 
-    def __init__(self, count):
-        self._count, self._known = count, {}
+    def __init__(self, tokenizer):
+        self._encode = functools.partial(tokenizer.encode, add_special_tokens=False)
+        self._known: dict[str, int] = {}
 
-    def __call__(self, text: str) -> int:
-        total, known = 0, self._known
-        for piece in _CUTS.split(text):
-            n = known.get(piece)
-            if n is None:
-                n = self._count(piece)
-                if len(piece) <= LONG_PIECE:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = n
-            total += n
-        return total
+    def __call__(self, texts: list[str]) -> list[int]:
+        cut = [[t] if _ODD.search(t) else _STRETCHES.findall(t) for t in texts]
+        if len(self._known) >= STRETCHES:
+            self._known = {}
+        known = self._known
+        unknown = {x for stretches in cut for x in stretches if x not in known}
+        words = [x for x in unknown if _WORD.fullmatch(x)]
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            part = words[i : i + WORDS_AT_ONCE]
+            pieces = np.array(self._encode("".join(part)).word_ids, np.int64)
+            known.update(zip(part, np.bincount(pieces, minlength=len(part)).tolist()))
+        others = {x: len(self._encode(x).ids) for x in unknown if x not in known}
+        known.update((x, n) for x, n in others.items() if len(x) <= LONG_STRETCH)
+        whole = {x: n for x, n in others.items() if len(x) > LONG_STRETCH}
+        if not whole:
+            return [sum(map(known.__getitem__, stretches)) for stretches in cut]
+        return [sum(known[x] if x in known else whole[x] for x in stretches) for stretches in cut]
 
 
 def tokenizer_digest(path: str) -> str:
@@ -149,7 +163,16 @@ class TokenCache:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = counter(path)
             for batch in batches:
-                n = [count(t.as_py()) for t in batch.column("content")]
+                n: list[int] = []
+                held: list[str] = []
+                size = 0
+                for content in batch.column("content"):
+                    held.append(content.as_py())
+                    size += len(held[-1])
+                    if size >= BATCH_CHARS:
+                        n += count(held)
+                        held, size = [], 0
+                n += count(held)
                 yield pa.record_batch([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
         schema = T.StructType().add("digest", "binary").add("n_tokens", "long")

@@ -42,7 +42,20 @@ def test_counts_equal_the_library(spark, documents, tmp_path, name):
 @given(st.lists(st.sampled_from(["a", "Word", "é", "'s", "'", " ", " ", "\n", "\t", "12", "<|endoftext|>", "<|", "中", " ", "​", "̀", "🙂", "."]), max_size=14))
 def test_cuts_change_no_count(parts):
     text = "".join(parts)
-    assert token_counts.counter(tokenizer(BYTES))(text) == library_count(text)
+    assert token_counts.counter(tokenizer(BYTES))([text]) == [library_count(text)]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(max_size=30), max_size=5))
+def test_any_texts(texts):
+    assert token_counts.counter(tokenizer(BYTES))(texts) == [library_count(t) for t in texts]
+
+
+def test_every_character_between_words():
+    """All characters up to the end of the letters and symbols in use, each in four surroundings."""
+    count = token_counts.counter(tokenizer(BYTES))
+    texts = [f for c in range(0x3100) if not 0xD800 <= c < 0xE000 for f in (f"ab{chr(c)}cd", f"ab {chr(c)} cd", f"ab\n{chr(c)}.cd", f"ab,{chr(c)}")]
+    assert count(texts) == [library_count(t) for t in texts]
 
 
 def library_count(text, _held=[]):

@@ -2,7 +2,7 @@
 
 Documents with 100 * common >= 85 * all shingles of four words are linked; the result is the connected component of
 every document. Equal sets collapse first. Shingles are ordered by the frequency of their rarest word, then by hash,
-and two linked sets share a shingle among the first 15 % of either, so only sets that meet there are looked at.
+with frequent shingles behind all others, and two linked sets share a shingle among the first 15 % of either, so only sets that meet there are looked at.
 
 1. *Stars*: where sets meet, each is held against the one that has the fewest unshared shingles. That joins most of a
    large group of copies with one comparison per member, and so forms the groups.
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sievelog.llm import text as T
@@ -38,6 +39,7 @@ from sievelog.session import ship_package, written
 
 WIDTH, PERCENT = 4, 85
 COMMON = 1 << 20
+WORD_BUCKETS, SHINGLE_BUCKETS = 1 << 20, 1 << 18
 GROUP = 64
 BATCH_WORDS = 400_000
 
@@ -129,35 +131,60 @@ def largest_counts(members: list[bytes | None]) -> bytes | None:
     return most.astype(np.uint8).tobytes() if most.max() <= 255 else None
 
 
-def common_words(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and document frequencies of the words above a frequency that at most ``COMMON`` words can reach."""
-    counts = hashed.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts.where("n > 1"), "words")
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    found = counts.where(F.col("n") > total // COMMON).toArrow()
-    order = np.argsort(found["w"].to_numpy())
-    return found["w"].to_numpy()[order], found["n"].to_numpy()[order]
+def frequencies(hashed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of words and of frequent shingles by hash bucket, which fix the global order of shingles.
+
+    Of the words those above a frequency that at most ``COMMON`` buckets can reach are kept, of the shingles those in
+    buckets that stand out from an even spread; all others count as 0. So both are short, whatever the documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_counts, shingle_counts = np.zeros(WORD_BUCKETS, np.int64), np.zeros(SHINGLE_BUCKETS, np.int64)
+        for batch in batches:
+            for _, _, words, sizes in _parts(batch, "words"):
+                word_counts += np.bincount(words & (WORD_BUCKETS - 1), minlength=WORD_BUCKETS)
+                _, shingle, _ = shingle_sets(words, sizes, width)
+                shingle_counts += np.bincount(_shingle_bucket(shingle), minlength=SHINGLE_BUCKETS)
+        for kind, counts in enumerate((word_counts, shingle_counts)):
+            bucket = np.flatnonzero(counts)
+            columns = [np.full(len(bucket), kind, np.int32), bucket.astype(np.int32), counts[bucket]]
+            yield pa.record_batch([pa.array(c) for c in columns], ["kind", "bucket", "n"])
+
+    counts = hashed.mapInArrow(run, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    counts = written(counts, "frequencies")
+    total = dict(counts.groupBy("kind").agg(F.sum("n")).collect())
+    mean = total.get(1, 0) / SHINGLE_BUCKETS
+    least = (total.get(0, 0) // COMMON, int(mean + 8 * mean**0.5 + 32))
+    found = counts.where(F.col("n") > F.when(F.col("kind") == 0, F.lit(least[0])).otherwise(F.lit(least[1]))).toArrow()
+    out = []
+    for kind, size in enumerate((WORD_BUCKETS, SHINGLE_BUCKETS)):
+        part = found.filter(pc.equal(found["kind"], kind))
+        dense = np.zeros(size, np.int64)
+        dense[part["bucket"].to_numpy()] = part["n"].to_numpy()
+        out.append(dense)
+    return out[0], out[1]
+
+
+def _shingle_bucket(shingle: np.ndarray) -> np.ndarray:
+    return (shingle.view(np.uint64) >> np.uint64(64 - SHINGLE_BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
 def prefixes(hashed: DataFrame, percent: int, width: int) -> DataFrame:
     """(id, n, digest, counts, prefix): set size, digest, bucket counts and the first shingles in the global order."""
     ship_package(hashed.sparkSession)
-    held = hashed.sparkSession.sparkContext.broadcast(common_words(hashed))
+    held = hashed.sparkSession.sparkContext.broadcast(frequencies(hashed, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = held.value
+        word_counts, shingle_counts = held.value
         for batch in batches:
             for row, to, words, sizes in _parts(batch, "words"):
-                frequency = np.zeros(len(words), np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, words), len(names) - 1)
-                    frequency = np.where(names[at] == words, counts[at], 0)
+                frequency = word_counts[words & (WORD_BUCKETS - 1)]
                 text, shingle, first = shingle_sets(words, sizes, width)
                 last = np.cumsum(sizes)[text] - 1
                 rarest = frequency[first]
                 for k in range(1, width):
                     rarest = np.minimum(rarest, frequency[np.minimum(first + k, last)])
-                order = np.lexsort((shingle, rarest, text))
+                order = np.lexsort((shingle, rarest, shingle_counts[_shingle_bucket(shingle)], text))
                 text, shingle = text[order], shingle[order]
                 fresh = np.ones(len(text), bool)
                 fresh[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
@@ -255,11 +282,15 @@ def _allowed(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _involved(hashed: DataFrame, ids: DataFrame, width: int, small: int = 1 << 20) -> DataFrame:
+def _hashed(texts: DataFrame) -> DataFrame:
+    return texts.select("id", T.word_hashes(T.space_words(F.col("text"))).alias("words"))
+
+
+def _involved(texts: DataFrame, ids: DataFrame, width: int, small: int = 1 << 20) -> DataFrame:
     """Sets of the listed documents. Up to ``small`` ids are sent to the texts, else the texts move."""
     ids = written(ids.distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= small else ids
-    return written(sets_of(hashed.join(wanted, "id", "left_semi"), width), "sets")
+    return written(sets_of(_hashed(texts.join(wanted, "id", "left_semi")), width), "sets")
 
 
 def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
@@ -351,9 +382,8 @@ def join_components(documents: DataFrame, percent: int = PERCENT, width: int = W
     spark = documents.sparkSession
     ship_package(spark)
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = T.word_hashes(T.space_words(F.col("text")))
-    hashed = documents.select(F.col("doc_id").cast("long").alias("id"), words.alias("words"))
-    every = written(prefixes(hashed, percent, width), "prefixes")
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    every = written(prefixes(_hashed(texts), percent, width), "prefixes")
 
     # one set of each digest
     reps = every.where("n > 0 and id is not null").groupBy("digest").agg(
@@ -370,7 +400,7 @@ def join_components(documents: DataFrame, percent: int = PERCENT, width: int = W
     counts = reps.select("id", "n", "counts")
     stars = written(plausible(star_pairs(shared.join(counted, "id"), percent), counts, percent), "stars")
     involved = stars.select(F.explode(F.array("a", "b")).alias("id"))
-    links = written(verified(stars, _involved(hashed, involved, width), percent), "links")
+    links = written(verified(stars, _involved(texts, involved, width), percent), "links")
     first = components(links)
 
     nodes = shared.groupBy("id").agg(*[F.first(x).alias(x) for x in ("n", "p", "band")])
@@ -383,7 +413,7 @@ def join_components(documents: DataFrame, percent: int = PERCENT, width: int = W
     nodes = written(nodes, "groups")
     open_groups = written(qualifying_groups(shared, nodes, percent), "open")
     inside = nodes.join(open_groups.select(F.col("g").alias("group")).distinct(), "group", "left_semi").select("id")
-    sets = _involved(hashed, inside.unionByName(open_groups.select("id")), width)
+    sets = _involved(texts, inside.unionByName(open_groups.select("id")), width)
     pairs = written(opened_pairs(weighed(open_groups, nodes, sets), nodes, percent), "pairs")
     more = written(verified(pairs, sets, percent), "links")
     linked = components(links.unionByName(more))

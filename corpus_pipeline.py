@@ -2,13 +2,15 @@
 
 1. ``language_id`` drops documents without a recognisable language: no letter, no text, or a best language below
    ``MIN_LANGUAGE``.
-2. ``line_dedup`` takes repeated lines out of all documents but the one with the highest id; no document is dropped.
+2. ``line_dedup`` takes repeated lines out of all documents but the one with the highest id, and drops the documents that
+   this leaves without a word: their lines all stand elsewhere.
 3. ``near_duplicates`` keeps the document with the lowest id of every group linked by a similarity of
    ``NEAR_PERCENT`` over shingles of ``NEAR_WIDTH`` words. Texts without words have no group and stay.
 4. ``decontaminate`` drops documents that hold a span of a benchmark item.
 5. ``pack`` cuts what is left into token pieces and packs them.
 
-All but the last return the columns of ``documents``, in their order. Empty tables give empty tables.
+All but the last return the columns of ``documents``, in their order; others that the table has, whatever their names,
+travel along. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ MIN_LANGUAGE = 0.3
 #: Words of a shingle and least similarity of near copies; the op7 query has others of its own.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 SMALL_IDS = 1 << 20
+WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -40,7 +43,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = lines.dedup_lines(docs)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
     changed = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return cleaned.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
+    emptied = (F.col("n_dropped") > 0) & ~F.col("kept").rlike(WORD)
+    return cleaned.where(~emptied).select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

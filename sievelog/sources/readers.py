@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sievelog import schema
 from sievelog.operators.parse import parse_logs
+from sievelog.session import ship_package
+from sievelog.sources.csv_records import read_quoted_csv
+from sievelog.sources.tail import TailSource
 
 _ROW_BITS = 33
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
@@ -62,8 +65,8 @@ def read_labelled_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled samples from a CSV with a header; the label column may be missing."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    """Labelled samples from a CSV with a header; the label column may be missing. Files are read in splits."""
+    df = read_quoted_csv(spark, path)
     if "is_anomaly" not in df.columns:
         return df.withColumn("is_anomaly", F.lit(False))
     label = F.lower(F.trim(F.col("is_anomaly").cast("string")))
@@ -93,8 +96,7 @@ def stream_lines(
 ) -> DataFrame:
     """Lines of the complete text files arriving in a folder, as a stream of ``(file, ingest_ts, value)``.
 
-    A file is read once: lines appended to it later are not delivered. To follow a growing file, let a log shipper
-    write its lines to a topic or roll it into new files; every operator takes any stream with a string column.
+    A file is read once: lines appended to it later are not delivered. Use :func:`follow_files` for growing files.
 
     ``from_end`` skips what was there at the start: only files written after ``started``. Give the same ``started``
     when a query restarts from its checkpoint; without it the time of this call is taken.
@@ -114,13 +116,35 @@ def _now() -> datetime.datetime:
     return datetime.datetime.now(datetime.timezone.utc)
 
 
+def follow_files(
+    spark: SparkSession,
+    path: str,
+    from_end: bool = False,
+    split_bytes: int | None = None,
+    fail_on_data_loss: bool = True,
+) -> DataFrame:
+    """Lines of growing files as a stream of ``(file, at, ingest_ts, value)``; ``at`` is the line's first byte.
+
+    ``path`` is a file, a folder, or a pattern for names in one folder. Lines appended to a file arrive once, also after
+    a restart and after the file was rotated. ``from_end`` skips what was there when the query first started; a restart
+    goes on from its checkpoint. See :mod:`sievelog.sources.tail`.
+    """
+    ship_package(spark)
+    spark.dataSource.register(TailSource)
+    options = {"fromEnd": str(from_end), "failOnDataLoss": str(fail_on_data_loss)}
+    if split_bytes:
+        options["splitBytes"] = str(split_bytes)
+    stream = spark.readStream.format("tail").options(**options).load(path)
+    text = F.col("value").cast("string")
+    return stream.select("file", "at", F.current_timestamp().alias("ingest_ts"), _text_only(text).alias("value"))
+
+
 def stream_table(
     spark: SparkSession, folder: str, name: str, table_schema: T.StructType, max_files_per_trigger: int = 1000
 ) -> DataFrame:
-    """A stream over the parquet files of one table in a folder."""
-    return (
-        spark.readStream.schema(table_schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(folder)
-    )
+    """A stream over one table in a folder: the file ``name.parquet``, or the files of a folder of that name."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    spark.read.schema(table_schema).parquet(path)  # a stream over nothing would be empty and say nothing
+    stream = spark.readStream.schema(table_schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    # a stream needs a folder or a pattern; this pattern matches the one path, whether file or folder
+    return stream.parquet(f"{path[:-1]}[{path[-1]}]")

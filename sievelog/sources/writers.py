@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sievelog.session import ship_package
+from sievelog.sources.tail import file_system
+
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -54,3 +62,34 @@ def append_outbox(payloads: DataFrame, path: str, batch_id: int | None = None) -
 
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("alert_id", "channel", "ts", "payload")
+
+
+def write_log_files(lines: DataFrame, path: str, file: str, order: Sequence[str], text: str = "line") -> None:
+    """Each file's lines in order, as a plain file below ``path``; a file that is there is replaced at once.
+
+    A file that got more lines at its end has grown for whoever follows it. A task that is run again writes the same.
+    """
+    ship_package(lines.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = file_system(path)
+        files.create_dir(folder)
+        name = out = hidden = None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                files.move(hidden, posixpath.join(folder, name))
+
+        for batch in batches:
+            for to, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if to != name:
+                    close()
+                    name, hidden = to, posixpath.join(folder, f".{to}-{uuid.uuid4().hex}")
+                    out = files.open_output_stream(hidden)
+                out.write(f"{line}\n".encode())
+        close()
+        return iter(())
+
+    placed = lines.repartition(F.col(file)).sortWithinPartitions(file, *order).select(file, text)
+    placed.mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()

@@ -91,8 +91,8 @@ def cooldown_by_source(spark, sf_dir):
 
 
 def cooldown_by_source_rounds(spark, sf_dir):
-    """The same with every source treated as too large for one row, the cooldown raised to three days."""
-    kept = apply_cooldown(alerts(spark, sf_dir), "source", "ts", "line_no", 259_200, limit=100)
+    """The same with every source cut into cells of about a hundred alerts, whose maps are composed in rounds."""
+    kept = apply_cooldown(alerts(spark, sf_dir), "source", "ts", "line_no", 1800, rows_per_cell=100)
     return kept.select("line_no", "source")
 
 
@@ -230,7 +230,7 @@ ORACLES = {
     "rule_match_by_name": f"WITH {ALERTS}, {_matched_sql(_BY_NAME)} SELECT line_no, rule, cooldown, channels, deliverable FROM matched",
     "cooldown": f"{_SENT} SELECT line_no, id FROM sent",
     "cooldown_by_source": f"WITH RECURSIVE {ALERTS}, {_walk_sql('alerts', 'source', '1800')} SELECT line_no, k AS source FROM walk WHERE sent",
-    "cooldown_by_source_rounds": f"WITH RECURSIVE {ALERTS}, {_walk_sql('alerts', 'source', '259200')} SELECT line_no, k AS source FROM walk WHERE sent",
+    "cooldown_by_source_rounds": f"WITH RECURSIVE {ALERTS}, {_walk_sql('alerts', 'source', '1800')} SELECT line_no, k AS source FROM walk WHERE sent",
     "route_channels": f"{_ROUTED} SELECT line_no, channel, channel <> 'webhook' AS channel_delivers FROM routed",
     "deliverable": f"WITH {ALERTS}, {_matched_sql(_BY_THRESHOLD)}, n AS (SELECT name, count(*) AS alerts FROM "
     "(SELECT unnest(string_split(channels, ',')) AS name FROM matched) GROUP BY name) SELECT name, alerts, enabled, target, enabled AND target <> '' AS deliverable "

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import datetime
+import threading
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from sievelog.operators.alerts import AlertConfig, create_alerts, match_rules, payloads, route
-from sievelog.operators.cooldown import apply_cooldown
+from sievelog.operators.cooldown import Cell, apply_cooldown
+from sievelog.operators.ordered import whole_division
 from sievelog.operators.parse import parse_logs
 from sievelog.operators.scoring import DEFAULT_THRESHOLD, Scorer, detect
-from sievelog.session import scratch_path
+from sievelog.session import scratch_path, ship_package
 from sievelog.sources.writers import append_outbox
 
 
@@ -50,6 +51,123 @@ def severity_counters(detected: DataFrame) -> DataFrame:
     return detected.where("is_anomaly").groupBy("severity").agg(F.count(F.lit(1)).alias("anomalies"))
 
 
+def start_windows(
+    df: DataFrame,
+    keys: list[str],
+    out: str,
+    checkpoint: str,
+    window: int = 60,
+    slide: int = 10,
+    delay: int = 60,
+    ts: str = "ts",
+    **trigger,
+) -> StreamingQuery:
+    """:func:`sliding_counts` in windows that close, with a table of the rows that came too late for some.
+
+    Seconds throughout; ``window`` is a multiple of ``slide``. A micro-batch's watermark is ``delay`` before the newest
+    time of all batches before it. A row is counted in those of its windows that end after the watermark; if there are
+    others, it goes to ``{out}-late`` with ``late_windows``, their number. Windows that end by the next watermark are
+    written once to ``out``. Unlike the count in a query's progress, which is of partial sums, this one is of rows.
+    Rows without a time are in no window.
+
+    The sums of open windows and the newest time are a table per batch, in slots that a replay overwrites; so are rows
+    and windows, in folders named by batch.
+    """
+    spark = df.sparkSession
+    width, step, wait = (1_000_000 * x for x in (window, slide, delay))
+    sums = {"lines": F.lit(1), "errors": F.coalesce(F.col("level") == "ERROR", F.lit(False)).cast("int"), "anomalies": F.coalesce("is_anomaly", F.lit(False)).cast("int")}
+    kinds = T.StructType().add("start", "long")
+    for key in keys:
+        kinds = kinds.add(df.schema[key])
+    kinds = kinds.add("lines", "long").add("errors", "long").add("anomalies", "long")
+    ends = F.col("start") + width
+
+    def close(batch: DataFrame, batch_id: int) -> None:
+        us = F.unix_micros(F.col(ts).cast("timestamp"))
+        rows = batch.where(F.col(ts).isNotNull()).withColumn("_us", us).persist()
+        before = _history(spark, f"{out}-newest", batch_id, "newest bigint").agg(F.max("newest")).head()[0]
+        mark = None if before is None else before - wait
+        newest = max((x for x in (before, rows.agg(F.max("_us")).head()[0]) if x is not None), default=None)
+        starts = F.transform(F.sequence(F.lit(0), F.lit(window // slide - 1)), lambda j: (whole_division(F.col("_us"), step) - j) * step)
+        is_late = lambda start: F.lit(False) if mark is None else start + width <= mark
+        late = F.size(F.filter(starts, is_late)).cast("bigint").alias("late_windows")
+        rows.select(*batch.columns, late).where("late_windows > 0").write.mode("overwrite").parquet(f"{out}-late/batch={batch_id}")
+        spread = rows.select(*keys, *[v.alias(n) for n, v in sums.items()], F.explode(F.filter(starts, lambda s: ~is_late(s))).alias("start"))
+        counted = spread.groupBy("start", *keys).agg(*[F.sum(n).alias(n) for n in sums])
+        held = _history(spark, f"{out}-open", batch_id, kinds)
+        held = held if mark is None else held.where(ends > mark)
+        merged = held.unionByName(counted).groupBy("start", *keys).agg(*[F.sum(n).alias(n) for n in sums])
+        slot = f"{out}-open/{batch_id % HISTORY_SLOTS}"
+        merged.write.mode("overwrite").parquet(slot)
+        closed = spark.read.schema(kinds).parquet(slot).where(F.lit(False) if newest is None else ends <= newest - wait)
+        ratio = (F.col("errors") / F.col("lines")).alias("error_ratio")
+        closed = closed.select(F.timestamp_micros("start").alias("window_start"), *keys, "lines", ratio, "anomalies")
+        closed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark.createDataFrame([(newest,)], "newest bigint").write.mode("overwrite").parquet(f"{out}-newest/{batch_id % HISTORY_SLOTS}")
+        rows.unpersist()
+
+    writer = df.writeStream.foreachBatch(close).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
+class LiveMonitor(StreamingQueryListener):
+    """Counters of a running query: its observed metrics of every trigger, added up as they arrive.
+
+    Pass the stream through :meth:`watch` and add the monitor to ``spark.streams``; :meth:`stats` is at any time the row
+    that :func:`sievelog.operators.profile.monitor_stats` gives for what was processed so far.
+    """
+
+    METRICS = "monitor"
+
+    def __init__(self) -> None:
+        self.lines = self.anomalies = self.errors = self.triggers = 0
+        self.first: int | None = None
+        self.last: int | None = None
+        self.ended = threading.Event()
+
+    def watch(self, detected: DataFrame, ts: str = "ts", errors: Column | None = None) -> DataFrame:
+        micros = F.unix_micros(F.col(ts))
+        return detected.observe(
+            self.METRICS,
+            F.count(F.lit(1)).alias("lines"),
+            F.count_if(F.col("is_anomaly")).alias("anomalies"),
+            F.count_if(F.lit(False) if errors is None else errors).alias("errors"),
+            F.min(micros).alias("first"),
+            F.max(micros).alias("last"),
+        )
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.clear()
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.METRICS)
+        if seen is None or not seen.lines:
+            return
+        self.triggers += 1
+        self.lines += seen.lines
+        self.anomalies += seen.anomalies
+        self.errors += seen.errors
+        self.first = min(x for x in (self.first, seen.first) if x is not None) if seen.first is not None else self.first
+        self.last = max(x for x in (self.last, seen.last) if x is not None) if seen.last is not None else self.last
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+    def stats(self) -> dict:
+        seconds = None if self.first is None else (self.last - self.first) / 1e6
+        return {
+            "lines_processed": self.lines,
+            "anomalies_detected": self.anomalies,
+            "errors": self.errors,
+            "elapsed_seconds": seconds,
+            "lines_per_second": self.lines / seconds if seconds else None,
+            "anomaly_rate": self.anomalies / max(self.lines, 1),
+        }
+
+
 DAY = 86_400
 
 
@@ -102,7 +220,7 @@ def start_dedup(
 HISTORY_SLOTS = 3  # the one read, the one written, and one more for a replay
 
 
-def _history(spark, path: str, batch_id: int, kinds: str) -> DataFrame:
+def _history(spark, path: str, batch_id: int, kinds: str | T.StructType) -> DataFrame:
     if batch_id == 0:
         return spark.createDataFrame([], kinds)
     return spark.read.schema(kinds).parquet(f"{path}/{(batch_id - 1) % HISTORY_SLOTS}")
@@ -119,35 +237,40 @@ def _remember(times: DataFrame, key: str, ts: str, keep_seconds: int, path: str,
 KEEP_STATE_SECONDS = 3600
 
 
-def _walk(keep_seconds: int):
-    """State function: walk a bucket's new alerts in time order, remembering when each identity was last sent."""
+class LastSent(StatefulProcessor):
+    """State of one identity: when it was last sent. A timer forgets it ``keep_seconds`` of event time later."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = dict(zip(*state.get)) if state.exists else {}
-        rows = pd.concat(list(batches), ignore_index=True)
-        ids, t, wait = rows["id"].to_numpy(), rows["t"].to_numpy(), rows["wait"].to_numpy()
-        going = []
-        for i in np.lexsort((rows["line_no"].to_numpy(), t)):
-            before = last.get(ids[i])
-            if before is None or t[i] - before >= wait[i]:
-                last[ids[i]] = int(t[i])
-                going.append(i)
-        watermark = state.getCurrentWatermarkMs()
-        horizon = (watermark - keep_seconds * 1000) * 1000
-        last = {k: v for k, v in last.items() if v >= horizon}
-        if last:
-            state.update((list(last), list(last.values())))
-            expiry = max(last.values()) // 1000 + keep_seconds * 1000
-            state.setTimeoutTimestamp(max(expiry, watermark + 1))
-        elif state.exists:
-            state.remove()
+    def __init__(self, keep_seconds: int):
+        self.keep_ms = keep_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._last = handle.getValueState("last", "t bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        frame = frame.iloc[np.lexsort((frame["line_no"].to_numpy(), frame["t"].to_numpy()))]
+        t, wait = frame["t"].to_numpy(), frame["wait"].to_numpy()
+        before = self._last.get()
+        going = Cell(t, wait).sent(before[0] if before else None)
         if going:
-            yield rows.loc[going, ["id", "line_no", "t"]]
+            last = int(t[going[-1]])
+            self._last.update((last,))
+            self._handle.registerTimer(max(last // 1000 + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        # what has no cooldown goes in any case
+        going = sorted({*going, *np.flatnonzero(wait <= 0).tolist()})
+        if going:
+            yield frame.iloc[going][["id", "line_no", "t"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self._last.get()
+        # a later alert has set a later timer
+        if last and last[0] // 1000 + self.keep_ms <= timerValues.getCurrentWatermarkInMs():
+            self._last.clear()
+        return iter(())
 
-    return step
+
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_cooldown(
@@ -156,20 +279,21 @@ def stream_cooldown(
     ts: str = "ts",
     order: str = "line_no",
     keep_seconds: int = KEEP_STATE_SECONDS,
-    buckets: int = 256,
 ) -> DataFrame:
     """Alerts past the cooldown of their identity, as a stream: ``(id, line_no, ts)`` of those sent.
 
-    ``matched`` is a stream of :func:`match_rules`. Identities share state by hash bucket, so a trigger calls
-    Python once per bucket and not once per identity. A time is dropped once the watermark is ``keep_seconds``
-    past it (identities carry the hour; never set it below the longest cooldown). The rows of a trigger, and so
-    of a bucket, are bounded by the source's rate limit; :func:`start_alerting` needs no such bound.
+    ``matched`` is a stream of :func:`match_rules`. Each identity has a value of its own in the state store, on disk
+    rather than on the heap, which this sets for the session. It is forgotten once the watermark is ``keep_seconds``
+    past it (identities carry the hour; never set it below the longest cooldown). An identity's rows of one trigger are
+    walked together and are bounded by the source's rate limit; :func:`start_alerting` needs no such bound.
     """
+    spark = matched.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    ship_package(spark)
     narrow = (
         matched.where("deliverable")
         .withWatermark(ts, delay)
         .select(
-            F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"),
             "id",
             F.col(order).alias("line_no"),
             F.col(ts),
@@ -177,13 +301,8 @@ def stream_cooldown(
             (F.col("cooldown").cast("bigint") * 1_000_000).alias("wait"),
         )
     )
-    sent = narrow.groupBy("bucket").applyInPandasWithState(
-        _walk(keep_seconds),
-        "id string, line_no bigint, t bigint",
-        "ids array<string>, last array<bigint>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    kind = T.StructType([narrow.schema["id"], narrow.schema["line_no"]]).add("t", "long")
+    sent = narrow.groupBy("id").transformWithStateInPandas(LastSent(keep_seconds), kind, "append", "eventTime")
     return sent.select("id", "line_no", F.timestamp_micros("t").alias("ts"))
 
 

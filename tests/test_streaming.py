@@ -52,7 +52,7 @@ ALERTS = "id string, line_no bigint, ts timestamp, cooldown int, deliverable boo
 def test_cooldown_over_many_triggers_equals_batch(spark, tmp_path):
     rows = _alert_rows(1)
     stream = _batches(spark, tmp_path / "in", [rows[i : i + 50] for i in range(0, 200, 50)], ALERTS)
-    sent = st.run_to_table(st.stream_cooldown(stream, buckets=2), "cooldown-test")
+    sent = st.run_to_table(st.stream_cooldown(stream), "cooldown-test")
     batch = apply_cooldown(spark.createDataFrame(rows, ALERTS))
     assert sorted(r["line_no"] for r in sent.collect()) == sorted(r["line_no"] for r in batch.collect())
 

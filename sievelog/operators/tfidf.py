@@ -128,29 +128,20 @@ def tfidf_weights(df: DataFrame, model: TfIdf, key: str, message: str = "message
     )
 
 
-COMMON_WORDS = 1000
-
-
 def rare_words(df: DataFrame, key: str, message: str = "message", max_df: int = 2) -> DataFrame:
-    """``(key, rare_words)``: distinct words of each message that occur in at most ``max_df`` messages.
+    """``(key, rare_words)``: distinct words of each message that occur in at most ``max_df`` messages, one or two.
 
-    The most frequent words, which no task could hold, are removed inside the rows first: there are at most
-    ``COMMON_WORDS`` of them, so that list is safe to broadcast, and what remains has no hot word.
+    ``key`` is unique. Up to two messages of a word are its least and greatest key, so an aggregate of three values per
+    word, combined before it moves, both counts the messages and names them; a word that is everywhere is one row of
+    each task. Texts are split into words once, and the messages without rare words come from the keys alone.
     """
+    if max_df not in (1, 2):
+        raise ValueError("the least and the greatest key name at most two messages")
     words = df.select(key, F.explode(word_runs(F.col(message))).alias("run")).select(
-        key, run_word(F.col("run")).alias("word")
-    )
-    totals = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    common = totals.where(F.col("df") > max_df).orderBy(F.desc("df"), "word").limit(COMMON_WORDS)
-    rare = totals.where(F.col("df") <= max_df)
-    found = (
-        words.join(F.broadcast(common.select("word")), "word", "left_anti")
-        .join(rare.select("word"), "word", "left_semi")
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("rare_words"))
-    )
-    return (
-        df.select(key)
-        .join(found, key, "left")
-        .select(key, F.coalesce("rare_words", F.lit(0).cast("bigint")).alias("rare_words"))
+        F.col(key).alias("k"), run_word(F.col("run")).alias("word")
     )
+    named = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.min("k").alias("a"), F.max("k").alias("b"))
+    holders = F.when(F.col("df") == 1, F.array("a")).otherwise(F.array("a", "b"))
+    one = named.where(F.col("df") <= max_df).select(F.explode(holders).alias(key), F.lit(1).cast("bigint").alias("n"))
+    none = df.select(key, F.lit(0).cast("bigint").alias("n"))
+    return one.unionByName(none).groupBy(key).agg(F.sum("n").alias("rare_words"))

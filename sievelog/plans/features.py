@@ -12,7 +12,7 @@ from sievelog.functions.patterns import (
     SECURITY_KEYWORDS,
 )
 from sievelog.functions.text import ALNUM, DIGITS, LETTERS, UPPER, WS
-from sievelog.operators import context, predicates, semantic, tfidf
+from sievelog.operators import context, predicates, semantic, similar, tfidf
 from sievelog.operators import features as ft
 from sievelog.plans.views import log_entries, table
 from sievelog.plans.views_sql import ENTRIES
@@ -182,6 +182,31 @@ def message_similarity(spark, sf_dir):
     return _round(out.select("a.conv_id", "a.turn", "similarity"), "similarity")
 
 
+def _asked_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors, vectors.where("vec_id % 100 = 0")
+
+
+def top_similar(spark, sf_dir):
+    """The ten vectors most similar to each one whose id is divisible by 100, exactly."""
+    vectors, asked = _asked_vectors(spark, sf_dir)
+    return similar.similar(vectors, asked, "vec_id", k=10, exact=True)
+
+
+def top_similar_probed(spark, sf_dir):
+    """The same from the nearest lists only; recall is measured in the tests."""
+    vectors, asked = _asked_vectors(spark, sf_dir)
+    return similar.similar(vectors, asked, "vec_id", k=10)
+
+
+def top_similar_messages(spark, sf_dir):
+    """The three messages most similar, by their word vectors, to each distinct one whose digest begins below 03."""
+    memo = semantic.message_memo(table(spark, sf_dir, "conversations").select(F.col("text").alias("message")))
+    encoded = memo.select("message_md5", semantic.hashed_vector(F.col("message")).alias("embedding"))
+    asked = encoded.where(F.col("message_md5") < "03")
+    return similar.similar(encoded, asked, "message_md5", k=3, exact=True)
+
+
 def _round_context(df: DataFrame) -> DataFrame:
     # a mean of ten gaps has seven decimals, all of them exact
     names = [c for c in context.CONTEXT_COLUMNS if c in df.columns and not c.startswith("unique")]
@@ -277,6 +302,9 @@ QUERIES = {
     "message_memo": message_memo,
     "encode_messages": encode_messages,
     "message_similarity": message_similarity,
+    "top_similar": top_similar,
+    "top_similar_probed": top_similar_probed,
+    "top_similar_messages": top_similar_messages,
     "time_delta_window": _context("avg_time_delta", "std_time_delta", "max_time_delta"),
     "level_ratio_window": _context("error_ratio_in_window", "warn_ratio_in_window"),
     "unique_sources_window": _context("unique_sources_in_window"),
@@ -472,6 +500,16 @@ ORACLES = {
     "round(list_aggregate(e, 'stddev_pop'), 6) AS embedding_std, round(list_max(e), 6) AS embedding_max, round(list_min(e), 6) AS embedding_min FROM v",
     "cosine_pairs": "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), "
     "CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "top_similar": """WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),
+ CAST(e.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM s) SELECT query, rank, id, similarity FROM r WHERE rank <= 10""",
+    "top_similar_messages": r"""WITH m AS (SELECT DISTINCT md5(text) AS id, text FROM conversations WHERE text IS NOT NULL),
+ w AS (SELECT id, md5(unnest(regexp_extract_all(lower(text), '[^\t\n\v\f\r ]+'))) AS h FROM m),
+ b AS (SELECT id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS at, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS v FROM w GROUP BY ALL),
+ l AS (SELECT id, sqrt(sum(v * v)) AS n FROM b GROUP BY id HAVING n > 0), q AS (SELECT * FROM l WHERE id < '03'),
+ d AS (SELECT x.id AS query, y.id, sum(x.v * y.v) AS dot FROM b x JOIN b y ON x.at = y.at WHERE x.id < '03' GROUP BY ALL),
+ s AS (SELECT q.id AS query, l.id, round(coalesce(dot, 0) / (q.n * l.n), 6) AS similarity FROM q JOIN l ON l.id <> q.id LEFT JOIN d ON d.query = q.id AND d.id = l.id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM s) SELECT query, rank, id, similarity FROM r WHERE rank <= 3""",
     "message_memo": "SELECT DISTINCT md5(text) AS message_md5, text AS message FROM conversations",
     "time_delta_window": f"WITH {ENTRIES}, {_TIME_WINDOW} SELECT * FROM tw",
     "level_ratio_window": f"WITH {ENTRIES}, {_LEVEL_WINDOW} SELECT line_no, error_ratio_in_window, warn_ratio_in_window FROM lw",

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sievelog.operators.ordered import ROWS_PER_CELL, Running, add_quantile_cells, positions, running
+from sievelog.session import written
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -119,14 +120,14 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
             F.sum("s.is_label").alias("support"),
             F.sum("s.is_pred").alias("predicted"),
         )
-        .withColumns(
-            {
-                "precision": _share(F.col("hit"), F.col("predicted")),
-                "recall": _share(F.col("hit"), F.col("support")),
-            }
-        )
-        .withColumn("f1", _f1(F.col("precision"), F.col("recall")))
     )
+    return _report(per_class)
+
+
+def _report(per_class: DataFrame) -> DataFrame:
+    """Rates of the classes, from their hits, support and predictions, and the averages."""
+    rates = {"precision": _share(F.col("hit"), F.col("predicted")), "recall": _share(F.col("hit"), F.col("support"))}
+    per_class = per_class.withColumns(rates).withColumn("f1", _f1(F.col("precision"), F.col("recall")))
     metrics = ("precision", "recall", "f1")
     total = F.sum("support")
     classes = per_class.select(F.col("c").cast("string").alias("class"), *metrics, "support")
@@ -140,6 +141,69 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     return classes.unionByName(macro).unionByName(weighted)
 
 
+def full_report(
+    df: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    score: str = "anomaly_score",
+    rows_per_cell: int = ROWS_PER_CELL,
+) -> dict[str, DataFrame]:
+    """All metrics of scored predictions by section, from one pass over the rows.
+
+    The rows are combined into a curve, counts of each label and prediction per distinct score. Everything follows from
+    it: the scalars, the report by class and the matrix from its sums, and both areas from one ascending walk over it,
+    since what lies above a score is the whole less what lies below. Rows without a score count in all but the areas.
+    """
+    y, p = F.col(label), F.col(prediction)
+    cells = {f"n{a}{b}": F.count_if((y == a) & (p == b)) for a in (0, 1) for b in (0, 1)}
+    curve = df.groupBy(F.col(score).cast("double").alias("at")).agg(*[c.alias(n) for n, c in cells.items()])
+    curve = written(curve, "curve")
+    scored = curve.where("at is not null").select("at", (F.col("n10") + F.col("n11")).alias("pos"), (F.col("n00") + F.col("n01")).alias("neg"))
+    before = {f"{x}_before": Running("sum", F.col(x), inclusive=False) for x in ("pos", "neg")}
+    walked = running(add_quantile_cells(scored, F.col("at"), rows_per_cell), [], [F.col("at")], F.col("cell"), before)
+    walked = walked.fillna(0, list(before))
+    both = scored.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("pos", "neg")]).head()
+    pos, neg = (F.lit(float(both[x])) for x in ("pos", "neg"))
+    reached = pos - F.col("pos_before")
+    areas = walked.agg(
+        F.when(pos * neg > 0, F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2)) / (pos * neg)).alias("roc_auc"),
+        F.coalesce(F.when(pos > 0, F.sum(F.col("pos") * reached / (reached + neg - F.col("neg_before"))) / pos), F.lit(0.0)).alias("average_precision"),
+    )
+    # four numbers, each with its label and prediction, stand for all rows
+    sums = curve.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in cells])
+    four = sums.select(F.explode(F.array(*[F.struct(F.lit(int(n[1])).alias("y"), F.lit(int(n[2])).alias("p"), F.col(n).alias("n")) for n in cells])).alias("c"))
+    four = four.select("c.*").where("n > 0")
+    total, right = F.sum("n"), F.coalesce(F.sum(F.when(F.col("y") == F.col("p"), F.col("n"))), F.lit(0))
+    scalars = four.agg(
+        F.coalesce(total, F.lit(0)).alias("num_samples"),
+        *[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(n) for n, c in (("num_anomalies", F.col("y") == 1), ("_predicted", F.col("p") == 1), ("_hit", (F.col("y") == 1) & (F.col("p") == 1)))],
+        right.alias("_right"),
+    ).withColumns(
+        {
+            "accuracy": _share(F.col("_right"), F.col("num_samples")),
+            "precision": _share(F.col("_hit"), F.col("_predicted")),
+            "recall": _share(F.col("_hit"), F.col("num_anomalies")),
+        }
+    )
+    scalars = scalars.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
+    agreement = scalars.select(F.col("num_samples").alias("total"), F.col("_right").alias("correct"), F.col("accuracy").alias("agreement"))
+    matrix = four.groupBy(F.col("y").alias("label")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("p") == b, F.col("n"))), F.lit(0)).alias(f"pred_{b}") for b in (0, 1)]
+    )
+    sides = F.array(
+        F.struct(F.col("y").alias("c"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("p").alias("c"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("bigint").alias("hit")),
+    )
+    by_class = four.select(F.explode(sides).alias("s")).groupBy(F.col("s.c").alias("c")).agg(*[F.sum(f"s.{x}").alias(x) for x in ("hit", "support", "predicted")])
+    return {
+        "binary_metrics": scalars.drop("_predicted", "_hit", "_right"),
+        "areas": areas,
+        "class_report": _report(by_class),
+        "confusion_matrix": matrix,
+        "label_agreement": agreement,
+    }
+
+
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows and percentage of each class."""
     counted = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))

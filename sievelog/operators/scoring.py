@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -88,23 +88,38 @@ def batch_summary(detected: DataFrame) -> DataFrame:
     )
 
 
-def classifier_pipeline(message: str = "message", label: str = "label", features: int = 1 << 14) -> Pipeline:
-    """Words and bigrams, hashed, weighted and fed to a logistic regression."""
+def classifier_pipeline(
+    message: str = "message", label: str = "label", features: int = 1 << 16, weight: str | None = None
+) -> Pipeline:
+    """Words that occur, hashed, weighted, scaled to unit length and fed to a logistic regression that keeps few of them.
+
+    Counts and unscaled lengths would let long texts outweigh all others, and many weights fit the training texts only.
+    """
+    regression = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=50, regParam=0.01, elasticNetParam=1.0)
+    if weight:
+        regression.setWeightCol(weight)
     return Pipeline(
         stages=[
             SQLTransformer(statement=f"SELECT *, coalesce({message}, '') AS _text FROM __THIS__"),
             RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+", minTokenLength=2),
-            NGram(inputCol="_words", outputCol="_pairs", n=2),
-            SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-            HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=features),
-            IDF(inputCol="_tf", outputCol="_features"),
-            LogisticRegression(featuresCol="_features", labelCol=label, maxIter=20, regParam=0.01),
+            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features, binary=True),
+            IDF(inputCol="_tf", outputCol="_weighted"),
+            Normalizer(inputCol="_weighted", outputCol="_features"),
+            regression,
         ]
     )
 
 
-def train_classifier(train: DataFrame, message: str = "message", label: str = "label") -> PipelineModel:
-    return classifier_pipeline(message, label).fit(train)
+def train_classifier(
+    train: DataFrame, message: str = "message", label: str = "label", balanced: bool = False
+) -> PipelineModel:
+    """A fitted classifier; ``balanced`` weighs both classes alike, whatever their numbers."""
+    if not balanced:
+        return classifier_pipeline(message, label).fit(train)
+    counts = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos")).head()
+    share = counts["pos"] / max(counts["n"], 1)
+    weight = F.when(F.col(label) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
+    return classifier_pipeline(message, label, weight="_weight").fit(train.withColumn("_weight", weight))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

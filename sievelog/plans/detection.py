@@ -105,14 +105,29 @@ def label_agreement(spark, sf_dir):
     return _rounded(ev.label_agreement(scored(spark, sf_dir)), "agreement")
 
 
-def train_classifier(spark, sf_dir):
-    """Train on the training part of the labelled documents, score the rest, report the metrics."""
+def _held_out_predictions(spark, sf_dir) -> DataFrame:
+    """Predictions for the test part of the labelled documents by a classifier fitted on the training part."""
     split = ev.stratified_split(_labelled_docs(spark, sf_dir), "doc_id")
-    model = scoring.train_classifier(split.where("split = 'train'").select("message", "label"))
-    held_out = split.where("split = 'test'")
-    scored_docs = scoring.score_logs(held_out, model, 0.5)
-    report = ev.binary_metrics(scored_docs.withColumn("prediction", F.col("is_anomaly").cast("int")))
-    return report.select("num_samples", "num_anomalies", (F.col("accuracy") > 0.5).alias("learned"))
+    model = scoring.train_classifier(split.where("split = 'train'").select("message", "label"), balanced=True)
+    scored_docs = scoring.score_logs(split.where("split = 'test'"), model, 0.5)
+    return scored_docs.withColumn("prediction", F.col("is_anomaly").cast("int"))
+
+
+def train_classifier(spark, sf_dir):
+    """Train, score the held-out documents, and say whether documents of either class are found."""
+    report = ev.confusion_matrix(_held_out_predictions(spark, sf_dir))
+    right = F.when(F.col("label") == 1, F.col("pred_1")).otherwise(F.col("pred_0"))
+    n = F.col("pred_0") + F.col("pred_1")
+    return report.agg(
+        F.sum(n).alias("num_samples"),
+        F.sum(F.when(F.col("label") == 1, n)).alias("num_anomalies"),
+        F.every(right > 0).alias("learned"),
+    )
+
+
+def train_classifier_report(spark, sf_dir):
+    """Precision, recall, F1 and support of both classes on the held-out documents."""
+    return ev.class_report(_held_out_predictions(spark, sf_dir))
 
 
 def model_roundtrip(spark, sf_dir):
@@ -146,6 +161,7 @@ QUERIES = {
     "class_balance": class_balance,
     "label_agreement": label_agreement,
     "train_classifier": train_classifier,
+    "train_classifier_report": train_classifier_report,
     "model_roundtrip": model_roundtrip,
 }
 

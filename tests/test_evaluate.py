@@ -92,3 +92,27 @@ def test_callers_batch_scorer(spark):
     df = spark.createDataFrame([("abc",), ("a" * 20,)], "message string")
     rows = score_logs(df, load, 0.5).orderBy("anomaly_score").collect()
     assert [(r["anomaly_score"], r["is_anomaly"], r["confidence"]) for r in rows] == [(0.3, False, 0.7), (1.0, True, 1.0)]
+
+
+def test_full_report_equals_the_single_metrics(spark):
+    from sievelog.operators import evaluate as ev
+
+    rnd = random.Random(8)
+    rows = [(rnd.randint(0, 1), round(rnd.random(), 2) if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "label int, anomaly_score double").selectExpr("*", "cast(coalesce(anomaly_score, 0) > 0.6 as int) AS prediction")
+    report = ev.full_report(df, rows_per_cell=20)
+    for name, single in (("binary_metrics", ev.binary_metrics), ("class_report", ev.class_report), ("confusion_matrix", ev.confusion_matrix), ("label_agreement", ev.label_agreement)):
+        wanted = single(df)
+        assert sorted(map(tuple, report[name].select(wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    areas = report["areas"].head()
+    assert areas["roc_auc"] == pytest.approx(ev.roc_auc(df).head()[0]) and areas["average_precision"] == pytest.approx(ev.average_precision(df).head()[0])
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 0.5)], [(0, 0.5)], [(1, None)]])
+def test_full_report_of_few_rows(spark, rows):
+    from sievelog.operators import evaluate as ev
+
+    df = spark.createDataFrame(rows, "label int, anomaly_score double").selectExpr("*", "1 AS prediction")
+    report = ev.full_report(df)
+    assert report["binary_metrics"].head()["num_samples"] == len(rows)
+    assert report["areas"].head()["roc_auc"] is None

@@ -9,11 +9,14 @@ votes are summed per host in Spark, and each page is extracted again from the co
 or from its own best one where it has none on it.
 
 Character references are decoded, white space inside a block becomes one space and blocks are joined by one space.
-Null or empty html and pages without text give an empty text. A missing url counts as one host.
+Null or empty html and pages without text give an empty text. A missing url counts as one host. Repeated rows vote each
+and have the same text; ties of paths go to the greater one. Paths longer than ``LONG_PATH`` go on as digests, so pages of
+any size, depth and brokenness are read whole, in linear time.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,24 +58,47 @@ _DIGITS = re.compile(r"\d+")
 
 @dataclass
 class Container:
-    """A container on a page: its path, and the blocks inside it, in page order, apart from boilerplate."""
+    """A container on a page: its path, and its stretch of the page's blocks, apart from boilerplate."""
 
     path: str
     main: bool
     parent: Container | None
+    blocks: list[str]
     inner: bool = False
     score: float = 0.0
-    texts: list[str] = field(default_factory=list)
+    credit: float = 0.0
+
+    def __post_init__(self) -> None:
+        self.start = self.end = len(self.blocks)
+        self.after = 0
+
+    @property
+    def texts(self) -> list[str]:
+        return self.blocks[self.start : self.end]
+
+    def finish(self, opened: int) -> None:
+        """All blocks are there; ``opened`` containers have been opened on the page."""
+        self.end, self.after = len(self.blocks), opened
+        passed = self.credit
+        # what is inside an article scores for the outermost one only
+        if not self.inner:
+            self.score = self.credit * (1.2 if self.main else 1.0)
+            passed *= 0.3 if self.main else 0.6
+        if self.parent is not None:
+            self.parent.credit += passed
 
 
 class Page(HTMLParser):
-    """Containers of one page, outermost first."""
+    """Containers of one page, outermost first. Time and memory are linear in the page, however deep or broken it is."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        root = Container("", False, None)
+        self.blocks: list[str] = []
+        root = Container("", False, None, self.blocks)
         self.containers = [root]
         self._open: list[tuple[str, Container | None, bool]] = []  # tag, container it opens, whether it drops
+        self._counts: dict[str, int] = {}  # open tags by name
+        self._mains = 0
         self._inside = root
         self._dropped = self._links = 0
         self._block: list[str] = []
@@ -80,23 +106,19 @@ class Page(HTMLParser):
         self.feed(html)
         self.close()
         self._end_block()
+        while self._open:
+            self._close()
+        root.finish(len(self.containers))
 
     def _end_block(self) -> None:
         text = " ".join("".join(self._block).split())
         if text:
-            plain = max(0, len(text) - 2 * self._linked)
-            credit, container = float(plain), self._inside
-            while container is not None:
-                container.texts.append(text)
-                # what is inside an article scores for the outermost one only
-                if not container.inner:
-                    container.score += credit * (1.2 if container.main else 1.0)
-                    credit *= 0.3 if container.main else 0.6
-                container = container.parent
+            self.blocks.append(text)
+            self._inside.credit += max(0, len(text) - 2 * self._linked)
         self._block, self._linked = [], 0
 
     def _drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED or (tag == "header" and not any(c and c.main for _, c, _ in self._open)):
+        if tag in DROPPED or (tag == "header" and not self._mains):
             return True
         if tag in ("html", "body", "main", "article"):
             named = [v for k, v in attrs if k in ("class", "role") and v]
@@ -106,7 +128,7 @@ class Page(HTMLParser):
             return True
         if tag in HEADINGS and (self._inside.inner or self._inside.main):
             return False
-        if values and any(t == "article" for t, _, _ in self._open):
+        if values and self._counts.get("article"):
             return any(p.lower() in NAMES for k, v in attrs if k in ("class", "role") and v for p in v.split())
         return any(p.lower() in NAMES for v in values for p in _PARTS.findall(v))
 
@@ -123,23 +145,27 @@ class Page(HTMLParser):
             step = _DIGITS.sub("", f"{tag}.{first}" if first else tag)
             role = any(k == "role" and v == "main" for k, v in attrs)
             path = f"{self._inside.path}/{step}"
+            if len(path) > LONG_PATH:  # parent and step, as one digest
+                path = f"#{hashlib.blake2b(path.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
             inner = self._inside.inner or self._inside.main
-            opened = Container(path, tag in ("article", "main") or role, self._inside, inner)
-            if len(path) <= LONG_PATH:
-                self.containers.append(opened)
-                self._inside = opened
-            else:
-                opened = None
+            opened = Container(path, tag in ("article", "main") or role, self._inside, self.blocks, inner)
+            self.containers.append(opened)
+            self._inside = opened
+            self._mains += opened.main
         self._dropped += drops
         self._links += tag == "a"
         self._open.append((tag, opened, drops))
+        self._counts[tag] = self._counts.get(tag, 0) + 1
 
     def _close(self) -> None:
         tag, opened, drops = self._open.pop()
+        self._counts[tag] -= 1
         if tag in BLOCKS:
             self._end_block()
         if opened:
             self._end_block()
+            opened.finish(len(self.containers))
+            self._mains -= opened.main
             self._inside = opened.parent
         self._dropped -= drops
         self._links -= tag == "a"
@@ -147,7 +173,7 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end_block()
-        if any(t == tag for t, _, _ in self._open):
+        if self._counts.get(tag):
             while self._open[-1][0] != tag:
                 self._close()
             self._close()
@@ -172,20 +198,17 @@ def votes(html: str | None) -> dict[str, float]:
 def text_on(html: str | None, path: str | None) -> str:
     """Text of the outermost containers on a path, or of the page's best container."""
     containers = Page(html or "").containers
-    found = [c for c in containers if c.path == path and c.texts]
+    found = [(i, c) for i, c in enumerate(containers) if c.path == path and c.end > c.start]
     if not found:
         best = max(containers, key=lambda c: c.score)
-        found = [best if best.texts else containers[0]]
-    # a container on the path inside another one on it is part of that one
-    inside = {id(c) for c in found}
-
-    def nested(c: Container) -> bool:
-        up = c.parent
-        while up is not None and id(up) not in inside:
-            up = up.parent
-        return up is not None
-
-    return " ".join(t for c in found if not nested(c) for t in c.texts)
+        found = [(0, best if best.end > best.start else containers[0])]
+    out, until = [], 0
+    for i, c in found:
+        # a container on the path inside another one on it is part of that one
+        if i >= until:
+            out += c.texts
+            until = c.after
+    return " ".join(out)
 
 
 def host_of(url):

@@ -42,3 +42,25 @@ def test_many_hosts_and_clashing_columns(spark, monkeypatch):
     monkeypatch.setattr(H, "BROADCAST_HOSTS", 0)
     assert {(r.page_id, r.text) for r in H.extract(df).collect()} == {(i, f"t{i}") for i in range(12)}
     assert H.extract(df.where("false")).count() == 0
+
+
+def test_deep_broken_and_long_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        body = "".join(f"<div class=c{i % 7}><i>word{i} <article><p>" if i % 50 == 0 else f"<div><i>t{i} " for i in range(n))
+        start = time.perf_counter()
+        assert H.text_on(page(body), None) and H.votes(page(body))
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    assert seconds(80_000) < 40 * max(seconds(4_000), 0.05)
+
+
+def test_long_paths_are_containers_too(spark):
+    name = "a-rather-long-class-name-of-a-wrapper"
+    body = f"<div class={name}>" * 30 + "<div class='the-story-of-this-page'><p>" + "The story itself. " * 30 + "</p></div>" + "</div>" * 30
+    body += "<div class=beside><p>" + "Beside it. " * 9 + "</p></div>"
+    df = spark.createDataFrame([(i, "http://deep.example/", page(body)) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in H.extract(df).collect()} == {("The story itself. " * 30).strip()}
+    assert {r.path[0] for r in H.host_paths(df).collect()} == {"#"}

@@ -1,12 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on a bounded sample: at most ``SAMPLE`` documents of
-each of the ``LANGUAGES`` most frequent languages, one window of ``WINDOW`` characters of each. Windows and documents
-are chosen by hash, so the same table gives the same network. Prediction reads whole texts: bytes are cut into
+every language that has any, one window of ``WINDOW`` characters of each. Windows and documents are chosen by hash, so the same table gives the same network. Prediction reads whole texts: bytes are cut into
 stretches of ``STEPS``, every byte of a stretch gets label probabilities from both directions, and a document's
 probabilities are their mean over its bytes.
 
-A null text or one without a letter is ``und`` with score 0, as is every text if nothing could be learned.
+A null text or one without a letter is ``und`` with score 0, as is every text if nothing could be learned. Repeated rows
+are predicted each; ties go to the alphabetically first label.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sievelog.session import ship_package
 
-SAMPLE, LANGUAGES, WINDOW = 1500, 64, 200
+SAMPLE, WINDOW = 1500, 200
 STEPS, HIDDEN, BATCH = 128, 16, 1024
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -160,11 +160,11 @@ def remainder(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
-def train(documents: DataFrame, held_out: Column, sample: int = SAMPLE, languages: int = LANGUAGES) -> Network:
+def train(documents: DataFrame, held_out: Column, sample: int = SAMPLE) -> Network:
     """Train on documents that have a language and are not held out."""
     docs = documents.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(True)).alias("_held"))
     docs = docs.where(~F.col("_held") & F.col("lang").isNotNull() & (F.char_length("text") > 0))
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row per language
     if not counts:
         return Network.fresh([])
     labels = sorted(r["lang"] for r in counts)

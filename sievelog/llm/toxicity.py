@@ -218,8 +218,11 @@ def _crc(of: int):
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, y) of at most about ``sample`` labelled documents of either class, none of them held out."""
-    known = labels.where(F.col("toxic").isNotNull() & (F.coalesce(_crc(4), F.lit(2)) != 2))
+    """(text, y) of at most about ``sample`` labelled documents of either class, none of them held out.
+
+    Labels other than 0 and 1 say nothing and are left out; of several labels of a document the greatest counts.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & (F.coalesce(_crc(4), F.lit(2)) != 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.when(F.col("y") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample / max(1, counts.get(0, 0))))

@@ -147,3 +147,22 @@ def test_junk_is_found_and_both_paths_agree(spark, judged, clashing, nothing):
     assert all(r.keep for r in odd if not (r.text or "").strip())
     assert Q.classify(nothing, labels).count() == 0
     assert all(r.keep for r in Q.classify(docs, labels.where("false")).collect())
+
+
+def test_every_language_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    from sievelog.llm import langid
+
+    rows = [(i, f"text {i} of l{i % 70}", f"l{i % 70:02}") for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(docs, F.lit(False), sample=2).labels) == 70
+
+
+def test_labels_other_than_0_and_1_say_nothing(spark):
+    from sievelog.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, [0, 1, 2, -1, None][i % 5]) for i in range(40)], "doc_id long, toxic int")
+    assert {r.y for r in toxicity.labelled(docs, labels).collect()} == {0, 1}
+    assert toxicity.toxicity(docs, labels).count() == 40

@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-WORDS = 600_000
+WORDS = 200_000
 LONG_CHUNK = 64
 
 # characters whose lower case and composition are one to one

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -87,6 +88,26 @@ class _Memory(dict):
         return value
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function over batches, which afterwards gives the memory it no longer needs back to the system.
+
+    A worker process lives on for the next stage, whose tasks would otherwise pay for what this one had at its largest.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file, kept between tasks."""

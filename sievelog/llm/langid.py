@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sievelog.llm.encoder import tidy
 from sievelog.session import ship_package
 
 SAMPLE, WINDOW = 1500, 200
 STEPS, HIDDEN, BATCH = 128, 16, 1024
+ROWS_AT_ONCE = 1000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -209,7 +211,7 @@ def predict(documents: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             texts = batch.column(0).field("text").to_pylist()
             known = [i for i, t in enumerate(texts) if net.labels and t and _LETTER.search(t)]
             labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -226,7 +228,7 @@ def predict(documents: DataFrame, net: Network) -> DataFrame:
                     labels[i], scores[i] = net.labels[int(row.argmax())], float(min(1.0, row.max()))
             yield pa.record_batch([batch.column(0), pa.array(labels), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"row {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"row {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
 def identify(documents: DataFrame) -> DataFrame:

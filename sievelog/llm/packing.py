@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sievelog.llm.encoder import encoder
+from sievelog.llm.encoder import encoder, tidy
 from sievelog.session import ship_package, written
 
 LENGTH = 4096
@@ -189,7 +189,7 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = LENGTH, separator
             )
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def number_within_length(rows: DataFrame, salts: int) -> DataFrame:

@@ -41,11 +41,20 @@ def stream_parse(spark, sf_dir):
     return out.withColumn("ts_wall", parsing.wall_text("ts_wall"))
 
 
-def stream_cooldown(spark, sf_dir):
+def _matched_stream(spark, sf_dir) -> DataFrame:
     entries = _entry_stream(spark, sf_dir).drop("is_anomaly")
     detected = scoring.detect(entries, "score", alerting.THRESHOLD)
-    matched = match_rules(create_alerts(detected, keep=("line_no",)), alerting.config())
-    return st.run_to_table(st.stream_cooldown(matched), "stream-cooldown").select("line_no", "id")
+    return match_rules(create_alerts(detected, keep=("line_no",)), alerting.config())
+
+
+def stream_cooldown(spark, sf_dir):
+    return st.run_to_table(st.stream_cooldown(_matched_stream(spark, sf_dir)), "stream-cooldown").select("line_no", "id")
+
+
+def stream_cooldown_keyed(spark, sf_dir):
+    """The same with a value of its own for each identity."""
+    sent = st.stream_cooldown_keyed(_matched_stream(spark, sf_dir))
+    return st.run_to_table(sent, "stream-cooldown-keyed").select("line_no", "id")
 
 
 def stream_counts(spark, sf_dir):
@@ -266,6 +275,7 @@ def write_metrics(spark, sf_dir):
 QUERIES = {
     "stream_parse": stream_parse,
     "stream_cooldown": stream_cooldown,
+    "stream_cooldown_keyed": stream_cooldown_keyed,
     "stream_counts": stream_counts,
     "stream_sliding_window": stream_sliding_window,
     "stream_dedup_24h": stream_dedup_24h,
@@ -318,6 +328,7 @@ _METRICS_SQL = " UNION ALL ".join(
 ORACLES = {
     "stream_parse": parsing.ORACLES["parse_logs"],
     "stream_cooldown": alerting.ORACLES["cooldown"],
+    "stream_cooldown_keyed": alerting.ORACLES["cooldown"],
     "stream_counts": traffic.ORACLES["severity_counts"],
     "stream_sliding_window": traffic.ORACLES["sliding_window_60_10"],
     "stream_dedup_24h": f"WITH RECURSIVE {SCORED}, {alerting._walk_sql('scored', 'md5(message)', '86400')} "

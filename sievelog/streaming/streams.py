@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievelog.operators.alerts import AlertConfig, create_alerts, match_rules, payloads, route
 from sievelog.operators.cooldown import Cell, apply_cooldown
@@ -237,6 +238,74 @@ def _remember(times: DataFrame, key: str, ts: str, keep_seconds: int, path: str,
 KEEP_STATE_SECONDS = 3600
 
 
+def _walk(keep_seconds: int):
+    """State function: walk a bucket's new alerts in time order, remembering when each identity was last sent."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = dict(zip(*state.get)) if state.exists else {}
+        rows = pd.concat(list(batches), ignore_index=True)
+        ids, t, wait = rows["id"].to_numpy(), rows["t"].to_numpy(), rows["wait"].to_numpy()
+        going = []
+        for i in np.lexsort((rows["line_no"].to_numpy(), t)):
+            before = last.get(ids[i])
+            if before is None or t[i] - before >= wait[i]:
+                last[ids[i]] = int(t[i])
+                going.append(i)
+        watermark = state.getCurrentWatermarkMs()
+        horizon = (watermark - keep_seconds * 1000) * 1000
+        last = {k: v for k, v in last.items() if v >= horizon}
+        if last:
+            state.update((list(last), list(last.values())))
+            expiry = max(last.values()) // 1000 + keep_seconds * 1000
+            state.setTimeoutTimestamp(max(expiry, watermark + 1))
+        elif state.exists:
+            state.remove()
+        if going:
+            yield rows.loc[going, ["id", "line_no", "t"]]
+
+    return step
+
+
+def stream_cooldown(
+    matched: DataFrame,
+    delay: str = "1 hour",
+    ts: str = "ts",
+    order: str = "line_no",
+    keep_seconds: int = KEEP_STATE_SECONDS,
+    buckets: int = 256,
+) -> DataFrame:
+    """Alerts past the cooldown of their identity, as a stream: ``(id, line_no, ts)`` of those sent.
+
+    ``matched`` is a stream of :func:`match_rules`. Identities share state by hash bucket, so a trigger calls
+    Python once per bucket and not once per identity. A time is dropped once the watermark is ``keep_seconds``
+    past it (identities carry the hour; never set it below the longest cooldown). The rows of a trigger, and so
+    of a bucket, are bounded by the source's rate limit; :func:`start_alerting` needs no such bound.
+    """
+    narrow = (
+        matched.where("deliverable")
+        .withWatermark(ts, delay)
+        .select(
+            F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"),
+            "id",
+            F.col(order).alias("line_no"),
+            F.col(ts),
+            F.unix_micros(F.col(ts)).alias("t"),
+            (F.col("cooldown").cast("bigint") * 1_000_000).alias("wait"),
+        )
+    )
+    sent = narrow.groupBy("bucket").applyInPandasWithState(
+        _walk(keep_seconds),
+        "id string, line_no bigint, t bigint",
+        "ids array<string>, last array<bigint>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return sent.select("id", "line_no", F.timestamp_micros("t").alias("ts"))
+
+
 class LastSent(StatefulProcessor):
     """State of one identity: when it was last sent. A timer forgets it ``keep_seconds`` of event time later."""
 
@@ -273,17 +342,17 @@ class LastSent(StatefulProcessor):
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_cooldown(
+def stream_cooldown_keyed(
     matched: DataFrame,
     delay: str = "1 hour",
     ts: str = "ts",
     order: str = "line_no",
     keep_seconds: int = KEEP_STATE_SECONDS,
 ) -> DataFrame:
-    """Alerts past the cooldown of their identity, as a stream: ``(id, line_no, ts)`` of those sent.
+    """:func:`stream_cooldown` with a value for each identity in a state store on disk, which this sets for the session.
 
-    ``matched`` is a stream of :func:`match_rules`. Each identity has a value of its own in the state store, on disk
-    rather than on the heap, which this sets for the session. It is forgotten once the watermark is ``keep_seconds``
+    State is as large as the disks allow and a trigger touches only its own identities, each with a few calls from Python
+    to the store; with few identities the buckets are faster. A value is forgotten once the watermark is ``keep_seconds``
     past it (identities carry the hour; never set it below the longest cooldown). An identity's rows of one trigger are
     walked together and are bounded by the source's rate limit; :func:`start_alerting` needs no such bound.
     """

@@ -84,7 +84,7 @@ def test_cooldown_state_over_triggers_and_restarts_equals_batch(spark, tmp_path)
     out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
 
     def start(stream):
-        sent = st.stream_cooldown(stream)
+        sent = st.stream_cooldown_keyed(stream)
         return sent.writeStream.format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(out)
 
     _triggers(spark, tmp_path / "in", parts, ALERTS, start)

@@ -25,6 +25,8 @@ MIN_LANGUAGE = 0.3
 #: Words of a shingle and least similarity of near copies; the op7 query has others of its own.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 SMALL_IDS = 1 << 20
+#: Documents handed to Python at a time. They are whole texts, so the default of 10,000 takes more memory than it saves time.
+BATCH_ROWS = 1000
 WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -34,12 +36,18 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= SMALL_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     found = langid.identify(docs)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     cleaned = lines.dedup_lines(docs)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
     changed = {"text": text, "n_chars": F.char_length(text).cast("long")}
@@ -48,15 +56,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return _without(docs, jaccard.join_components(docs, percent=NEAR_PERCENT, width=NEAR_WIDTH).where("doc_id <> component_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.without_hits(docs, benchmark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs, tokenizer())
 
 

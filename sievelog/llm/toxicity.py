@@ -10,8 +10,10 @@
 4. A logistic model of these sums, fitted to the labels, gives the score.
 
 Fitting uses at most ``SAMPLE`` labelled documents of either class, chosen by a hash of the id; scoring reads whole
-texts of all documents. Null and empty texts have no hits and get the score of a text without hits. Without labels of
-both classes every score is 0.
+texts of all documents. Of the context words seen around ten hits or more of the sample, the ``CONTEXT`` most frequent in
+both classes have weights; terms have three to forty letters. Null and empty texts have no hits and get the score of a
+text without hits. Without labels of both classes every score is 0. Repeated rows are scored each and score alike; labels
+other than 0 and 1 are left out, and of several labels of a document the greatest counts.
 """
 
 from __future__ import annotations

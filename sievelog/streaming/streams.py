@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievelog.operators.alerts import AlertConfig, create_alerts, match_rules, payloads, route
-from sievelog.operators.cooldown import Cell, apply_cooldown
+from sievelog.operators.cooldown import apply_cooldown
 from sievelog.operators.ordered import whole_division
 from sievelog.operators.parse import parse_logs
 from sievelog.operators.scoring import DEFAULT_THRESHOLD, Scorer, detect
@@ -307,35 +307,61 @@ def stream_cooldown(
 
 
 class LastSent(StatefulProcessor):
-    """State of one identity: when it was last sent. A timer forgets it ``keep_seconds`` of event time later."""
+    """State of a bucket of identities: for each, under its own key, when it was last sent.
+
+    Only the identities of a trigger are read and written. A timer per bucket and ``keep_seconds`` of event time forgets
+    those whose time is that long ago.
+    """
 
     def __init__(self, keep_seconds: int):
         self.keep_ms = keep_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "t bigint")
+        self._last = handle.getMapState("last_sent", "id string", "t bigint")
+
+    def _timer(self, latest: int, watermark: int) -> None:
+        # on whole multiples of the time kept, so a bucket's keys are gone through once in that time
+        due = max(latest // 1000 + self.keep_ms, watermark + 1)
+        self._handle.registerTimer(-(-due // max(self.keep_ms, 1)) * max(self.keep_ms, 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True)
         frame = frame.iloc[np.lexsort((frame["line_no"].to_numpy(), frame["t"].to_numpy()))]
-        t, wait = frame["t"].to_numpy(), frame["wait"].to_numpy()
-        before = self._last.get()
-        going = Cell(t, wait).sent(before[0] if before else None)
-        if going:
-            last = int(t[going[-1]])
-            self._last.update((last,))
-            self._handle.registerTimer(max(last // 1000 + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        # what has no cooldown goes in any case
-        going = sorted({*going, *np.flatnonzero(wait <= 0).tolist()})
+        known = self._last.exists()
+        last, changed, going = {}, set(), []
+        for i, (who, t, wait) in enumerate(zip(frame["id"].tolist(), frame["t"].tolist(), frame["wait"].tolist())):
+            if who not in last:
+                before = self._last.getValue((who,)) if known else None
+                last[who] = before[0] if before else None
+            # what has no cooldown goes in any case
+            goes = last[who] is None or t - last[who] >= (wait if wait > 0 else 1)
+            if goes:
+                last[who] = t
+                changed.add(who)
+            if goes or wait <= 0:
+                going.append(i)
+        for who in changed:
+            self._last.updateValue((who,), (last[who],))
+        if changed:
+            self._timer(max(last[who] for who in changed), timerValues.getCurrentWatermarkInMs())
         if going:
             yield frame.iloc[going][["id", "line_no", "t"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self._last.get()
-        # a later alert has set a later timer
-        if last and last[0] // 1000 + self.keep_ms <= timerValues.getCurrentWatermarkInMs():
+        watermark = timerValues.getCurrentWatermarkInMs()
+        old, latest = [], None
+        for who, (t,) in self._last.iterator():
+            if t // 1000 + self.keep_ms <= watermark:
+                old.append(who)
+            else:
+                latest = t if latest is None else max(latest, t)
+        if latest is None:
             self._last.clear()
+        else:
+            for who in old:
+                self._last.removeKey(who)
+            self._timer(latest, watermark)
         return iter(())
 
 
@@ -348,13 +374,15 @@ def stream_cooldown_keyed(
     ts: str = "ts",
     order: str = "line_no",
     keep_seconds: int = KEEP_STATE_SECONDS,
+    buckets: int = 256,
 ) -> DataFrame:
     """:func:`stream_cooldown` with a value for each identity in a state store on disk, which this sets for the session.
 
-    State is as large as the disks allow and a trigger touches only its own identities, each with a few calls from Python
-    to the store; with few identities the buckets are faster. A value is forgotten once the watermark is ``keep_seconds``
-    past it (identities carry the hour; never set it below the longest cooldown). An identity's rows of one trigger are
-    walked together and are bounded by the source's rate limit; :func:`start_alerting` needs no such bound.
+    State is as large as the disks allow and a trigger touches only its own identities, each with a call to the store to
+    read it, if its bucket is known, and one to write it. Python is entered per hash bucket of identities and not per
+    identity. A value is forgotten once the watermark is ``keep_seconds`` past it, up to as long again later (identities
+    carry the hour; never set it below the longest cooldown). A bucket's rows of one trigger are walked together and are
+    bounded by the source's rate limit; :func:`start_alerting` needs no such bound.
     """
     spark = matched.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
@@ -363,6 +391,7 @@ def stream_cooldown_keyed(
         matched.where("deliverable")
         .withWatermark(ts, delay)
         .select(
+            F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"),
             "id",
             F.col(order).alias("line_no"),
             F.col(ts),
@@ -371,7 +400,7 @@ def stream_cooldown_keyed(
         )
     )
     kind = T.StructType([narrow.schema["id"], narrow.schema["line_no"]]).add("t", "long")
-    sent = narrow.groupBy("id").transformWithStateInPandas(LastSent(keep_seconds), kind, "append", "eventTime")
+    sent = narrow.groupBy("bucket").transformWithStateInPandas(LastSent(keep_seconds), kind, "append", "eventTime")
     return sent.select("id", "line_no", F.timestamp_micros("t").alias("ts"))
 
 

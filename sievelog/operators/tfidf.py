@@ -1,19 +1,27 @@
 """TF-IDF over messages, and rare words.
 
-Term counts are taken inside the row, so what is shuffled is one record per distinct term of a message, combined
-per term before it moves.
+Messages are split into words by Spark; the words and pairs of a task are counted in Arrow functions, which hand back
+sums per term, at most ``HELD`` terms at a time, that are combined again before and after they are shuffled. A pair is
+no more frequent than either of its words, so once the words are counted only pairs of words that are frequent enough
+for the vocabulary are counted at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence, Set
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sievelog.functions.entropy import run_repeats, run_word, word_runs
+from sievelog.functions.entropy import run_word, word_runs
 from sievelog.functions.text import WORD
+from sievelog.session import ship_package, written
+
+HELD = 400_000
 
 
 def default_stop_words() -> list[str]:
@@ -33,40 +41,52 @@ def _without(tokens: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*listed))
 
 
-def _with_bigrams(tokens: Column) -> Column:
-    n = F.size(tokens)
-    pairs = F.when(
-        n > 1,
-        F.zip_with(
-            F.slice(tokens, 1, n - 1), F.slice(tokens, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b)
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)
-
-
-def term_counts(df: DataFrame, message: str, stop_words: Sequence[str]) -> DataFrame:
-    """Add ``_terms``: the distinct terms of each message with their counts."""
-    df = df.withColumn("_tokens", tokens_of(F.col(message), stop_words))
-    # a term holds one blank at most and no line break, so runs of the sorted terms split on line breaks
-    joined = F.concat(F.array_join(F.sort_array(_with_bigrams(F.col("_tokens"))), "\n"), F.lit("\n"))
-    runs = F.when(
-        F.size("_tokens") > 0,
-        F.regexp_extract_all(joined, F.lit(r"(([^\n]++\n)(?:\2)*+)"), F.lit(1)),
-    ).otherwise(F.array().cast("array<string>"))
-    counted = F.transform(
-        F.col("_runs"),
-        lambda r: F.struct(run_word(r).alias("term"), run_repeats(r).alias("tf")),
-    )
-    return df.withColumn("_runs", runs).withColumn("_terms", counted).drop("_tokens", "_runs")
+def _words(joined: str) -> list[str]:
+    return joined.split("\n") if joined else []
 
 
-def _each_term(counted: DataFrame, *keep: str) -> DataFrame:
-    """One row ``t`` per term.
+def _pairs(words: list[str], among: Set[str] | None = None) -> list[str]:
+    """Pairs of neighbouring words, both of them in ``among``."""
+    if among is None:
+        return [f"{a} {b}" for a, b in zip(words, words[1:])]
+    known = [w if w in among else None for w in words]
+    return [f"{a} {b}" for a, b in zip(known, known[1:]) if a and b]
 
-    The outer form: for the inner one the optimizer adds a size filter on the array and copies the whole
-    tokenisation into it.
-    """
-    return counted.select(*keep, F.explode_outer("_terms").alias("t")).where("t.term is not null")
+
+def _lines(message: str, stop_words: Sequence[str]) -> Column:
+    """The words of a message one to a line, as no word holds a line break."""
+    joined = F.array_join(tokens_of(F.col(message), stop_words), "\n")
+    return F.coalesce(joined, F.lit("")).alias("lines")
+
+
+def _totals(lines: DataFrame, terms_of: Callable[[str], list[str]]) -> DataFrame:
+    """``(term, count, df)``: occurrences of each term and the messages that hold it."""
+    ship_package(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, holders = Counter(), Counter()
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            columns = [pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())]
+            columns.append(pa.array([holders[t] for t in counts], pa.int64()))
+            whole = pa.record_batch(columns, ["term", "count", "df"])
+            for at in range(0, whole.num_rows, 10_000):
+                yield whole.slice(at, 10_000)
+
+        for batch in batches:
+            for text in batch.column(0):
+                terms = terms_of(text.as_py())
+                counts.update(terms)
+                holders.update(set(terms))
+                if len(counts) >= HELD:
+                    yield from sums()
+                    counts.clear()
+                    holders.clear()
+        if counts:
+            yield from sums()
+
+    parts = lines.mapInArrow(run, "term string, count bigint, df bigint")
+    return parts.groupBy("term").agg(F.sum("count").alias("count"), F.sum("df").alias("df"))
 
 
 @dataclass(frozen=True)
@@ -88,40 +108,72 @@ def fit_tfidf(
 ) -> TfIdf:
     """Terms in at least ``min_df`` messages and at most the share ``max_df``, the most frequent first.
 
-    Ties at the cut-off go to the alphabetically smaller term. Lazy: nothing runs until the vocabulary is used.
+    Ties at the cut-off go to the alphabetically smaller term. Words are counted here, pairs when the vocabulary is used.
     """
     stop_words = default_stop_words() if stop_words is None else list(stop_words)
-    counted = term_counts(df.select(message), message, stop_words)
-    totals = (
-        _each_term(counted)
-        .groupBy("t.term")
-        .agg(F.sum("t.tf").alias("count"), F.count(F.lit(1)).alias("df"))
-        .where(F.col("df") >= min_df)
-    )
-    n = df.select(F.count(F.lit(1))).scalar().alias("n")
+    lines = df.select(_lines(message, stop_words))
+    n = df.count()
+    allowed = (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
+    words = written(_totals(lines, _words), "words")
+    among = _frequent(words, allowed, max_features)
+    totals = words.unionByName(_totals(lines, lambda joined: _pairs(_words(joined), among)))
     vocabulary = (
-        totals.select("*", n)
-        .where(F.col("df") <= F.lit(max_df) * F.col("n"))
+        totals.where(allowed)
         .orderBy(F.desc("count"), "term")
         .limit(max_features)
-        .select("term", "count", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+        .select("term", "count", "df", (F.log((n + F.lit(1)) / (F.col("df") + 1)) + 1).alias("idf"))
     )
     return TfIdf(vocabulary, tuple(stop_words), max_features)
 
 
+def _frequent(words: DataFrame, allowed: Column, max_features: int) -> frozenset[str] | None:
+    """Words as frequent as the last one that words alone would put into the vocabulary.
+
+    None, for all, where they do not fill it or where words too rare or common in messages make these too many.
+    """
+    chosen = words.where(allowed).orderBy(F.desc("count"), "term").limit(max_features)
+    last = chosen.agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).head()
+    if last["n"] < max_features or not max_features:
+        return None
+    most = 4 * max_features
+    found = words.where(F.col("count") >= last["least"]).select("term").limit(most + 1).collect()
+    return frozenset(r["term"] for r in found) if len(found) <= most else None
+
+
 def tfidf_weights(df: DataFrame, model: TfIdf, key: str, message: str = "message") -> DataFrame:
     """``(key, term, tfidf)``: the non-zero, length-normalised weights of each message.
 
-    The vocabulary is broadcast: its size is bounded by ``max_features``. Each message then comes together as
-    one record holding its own weights, which is as large as the result itself.
+    The vocabulary is read here and sent with the tasks: its size is bounded by ``max_features``. Each message leaves
+    its task as one record holding its own weights, which is as large as the result itself; messages that share a key
+    are normalised together.
     """
-    exploded = _each_term(term_counts(df.select(key, message), message, model.stop_words), key)
-    weighted = exploded.join(
-        F.broadcast(model.vocabulary.select("term", "idf")), F.col("t.term") == F.col("term")
-    ).select(key, "term", (F.col("t.tf") * F.col("idf")).alias("w"))
-    per_message = weighted.groupBy(key).agg(
-        F.collect_list(F.struct("term", "w")).alias("terms"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+    ship_package(df.sparkSession)
+    idf = {r["term"]: r["idf"] for r in model.vocabulary.select("term", "idf").collect()}
+    paired = {w for t in idf for w in t.split(" ") if " " in t}
+    terms_kind = T.ArrayType(T.StructType().add("term", "string").add("w", "double"))
+    kind = T.StructType([df.select(key).schema[0]]).add("terms", terms_kind).add("square", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ends, terms, weights, squares = [], [0], [], [], []
+            for row, text in enumerate(batch.column(1)):
+                words = _words(text.as_py())
+                found = Counter(t for t in words + _pairs(words, paired) if t in idf)
+                if found:
+                    own = [n * idf[t] for t, n in found.items()]
+                    terms.extend(found)
+                    weights.extend(own)
+                    rows.append(row)
+                    ends.append(len(terms))
+                    squares.append(math.fsum(w * w for w in own))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(weights, pa.float64())], ["term", "w"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.record_batch([keys, lists, pa.array(squares, pa.float64())], [key, "terms", "square"])
+
+    lines = df.select(key, _lines(message, model.stop_words))
+    per_message = lines.mapInArrow(run, kind).groupBy(key).agg(
+        F.flatten(F.collect_list("terms")).alias("terms"), F.sqrt(F.sum("square")).alias("norm")
     )
     return per_message.select(key, F.explode("terms").alias("t"), "norm").select(
         key, F.col("t.term").alias("term"), (F.col("t.w") / F.col("norm")).alias("tfidf")

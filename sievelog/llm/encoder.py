@@ -73,16 +73,23 @@ class Encoder:
 
 
 class _Memory(dict):
-    """Values by key, computed when missing; forgotten all at once when there are too many."""
+    """Values by key, computed when missing, at most ``WORDS`` of them: when half are new, those before them are forgotten.
+
+    What is asked for again in the meantime is kept, so frequent words stay.
+    """
 
     def __init__(self, compute):
         super().__init__()
         self._compute = compute
+        self._before: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self._compute(key)
+        value = self._before.pop(key, None)
+        if value is None:
+            value = self._compute(key)
         if len(key) <= LONG_CHUNK:
-            if len(self) >= WORDS:
+            if len(self) >= WORDS // 2:
+                self._before = dict(self)
                 self.clear()
             self[key] = value
         return value

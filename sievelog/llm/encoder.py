@@ -5,16 +5,15 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 
-import numpy as np
-
 WORDS = 200_000
 LONG_CHUNK = 64
 
-# characters whose lower case and composition are one to one
-_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+# all but blanks and characters whose lower case and composition are one to one; contractions and special strings
+_ODD = re.compile(r"[^ -~À-ÖØ-öø-ÿ]|'|<\|")
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ a-zß-öø-ÿ0-9]+")
 
 
 def _byte_letters() -> list[str]:
@@ -27,8 +26,9 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Ids of a text without special tokens added; equal to the tokenizer's own on every text.
 
-    A tokenizer that drops white space treats the stretches between spaces apart, so each distinct stretch is
-    encoded once and remembered, up to ``WORDS`` of them. Other tokenizers encode the whole text.
+    A tokenizer that drops white space treats the stretches between spaces apart. Stretches of simple characters are cut
+    into the pieces it would make, and each distinct piece is encoded once and remembered, up to ``WORDS`` of them; so is
+    each distinct other stretch. Other tokenizers encode the whole text.
     """
 
     def __init__(self, path: str):
@@ -48,28 +48,41 @@ class Encoder:
         )
         self._letters = _byte_letters()
         self._model = self._tokenizer.model
-        self._chunks = _Memory(self._chunk)
+        self._chunks = _Memory(self._whole)
         self._words = _Memory(self._word)
 
     def _word(self, word: str) -> bytes:
-        letters = "".join(map(self._letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self._model.tokenize(letters)], dtype="<u4").tobytes()
+        letters = word if word.isascii() else "".join(map(self._letters.__getitem__, word.encode()))
+        return _bytes([t.id for t in self._model.tokenize(letters)])
 
-    def _chunk(self, chunk: str) -> bytes:
-        if _SIMPLE.fullmatch(chunk) and "'" not in chunk and "<|" not in chunk:
-            return b"".join(map(self._words.__getitem__, _PIECES.findall(chunk.lower())))
-        return self._whole(chunk)
+    def _simple(self, text: str) -> bytes:
+        return b"".join(map(self._words.__getitem__, _PIECES.findall(text.lower())))
 
     def _whole(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids if text else []
-        return np.array(ids, dtype="<u4").tobytes()
+        return _bytes(self._tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_words:
             return self._whole(text)
-        return b"".join(map(self._chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ")
+        odd = _ODD.search(text)
+        if odd is None:
+            return self._simple(text)
+        out, done = [], 0
+        while odd is not None:
+            # the whole stretch between blanks around it
+            start = max(done, text.rfind(" ", done, odd.start()) + 1)
+            end = text.find(" ", odd.start())
+            end = len(text) if end < 0 else end
+            out += [self._simple(text[done:start]), self._chunks[text[start:end]]]
+            odd, done = _ODD.search(text, end), end
+        return b"".join([*out, self._simple(text[done:])])
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Memory(dict):

@@ -85,20 +85,23 @@ def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+_UNKNOWN = object()
+
+
 class _Memory(dict):
     """Values by key, computed when missing, at most ``WORDS`` of them: when half are new, those before them are forgotten.
 
-    What is asked for again in the meantime is kept, so frequent words stay.
+    None is a value like others. What is asked for again in the meantime is kept, so frequent words stay.
     """
 
     def __init__(self, compute):
         super().__init__()
         self._compute = compute
-        self._before: dict[str, bytes] = {}
+        self._before: dict = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self._before.pop(key, None)
-        if value is None:
+        value = self._before.pop(key, _UNKNOWN)
+        if value is _UNKNOWN:
             value = self._compute(key)
         if len(key) <= LONG_CHUNK:
             if len(self) >= WORDS // 2:

@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 STEMS = range(4, 10)
 #: Letters from which a term is met with one edit and with two, and letters that the tests before the walks look at.
 ONE_EDIT, TWO_EDITS = 4, 9
-HEAD = 8
+HEAD, HEAD_TWO = 8, 12
 #: Log-odds below which a word, or a stem, says too little. Words that are also quoted have lower ones.
 ODDS, STEM_ODDS = 1.5, 3.5
 SMALL_LABELS = 2_000_000
@@ -161,7 +161,7 @@ class Model:
         trie = Trie(self.terms)
         highest = max((w for _, w, _ in self.terms), default=1.0)
         walks = []
-        for edits, size in ((1, HEAD), (2, TWO_EDITS)):
+        for edits, size in ((1, HEAD), (2, HEAD_TWO)):
             bendable = [t for t in self.terms if allowed_edits(t[0]) >= edits]
             walks.append((edits, Trie(bendable), _reached(bendable, edits, size)))
 

@@ -21,3 +21,16 @@ def test_frequent_words_are_computed_once(monkeypatch):
     assert calls["often"] == 1 and calls[""] == 1 and max(calls.values()) == 1
     long = "x" * (encoder.LONG_CHUNK + 1)
     assert memory[long] == memory[long] and calls[long] == 2
+
+
+def test_none_is_remembered_too(monkeypatch):
+    monkeypatch.setattr(encoder, "WORDS", 100)
+    calls = Counter()
+
+    def compute(key):
+        calls[key] += 1
+
+    memory = encoder._Memory(compute)
+    for k in range(2000):
+        assert memory["often"] is None and memory[f"rare{k}"] is None
+    assert max(calls.values()) == 1

@@ -10,6 +10,8 @@ bound is below the k-th best found are skipped and no vector of the true result
 A list of any length is cut into blocks of about ``BLOCK`` vectors and its queries into blocks of about ``ASKED``; two
 blocks meet as two matrices in one task, and each query leaves a block with at most ``k`` rows. Cosines are rounded to
 ``DIGITS`` places before they are ranked, and ties go to the smaller id, so the result does not depend on the blocks.
+Where queries are sent to lists, Python takes ``AT_ONCE`` vectors at a time and hands on at most ``SENT_BYTES`` of copies at
+once, so what it holds depends neither on the number of queries nor on that of the lists they visit.
 
 Vectors without length, with a null, infinite or NaN element, or without an id are not filed and find nothing. Repeated
 ids are filed each. A query does not find the rows that bear its own id; ids of queries are unique.
@@ -18,7 +20,7 @@ ids are filed each. A query does not find the rows that bear its own id; ids of
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,18 @@ FIRST_PROBES = 8
 MOST_LISTS = 1024
 MEASURED, MARGIN = 200, 0.03
 BLOCK, ASKED = 4096, 256
+AT_ONCE, SENT_BYTES = 1024, 8 << 20
 DIGITS = 6
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v): vectors of length one, of the rows that have a direction."""
-    rows = df.select(F.col(key).alias("id"), as_double(F.col(vector)).alias("v")).withColumn("n", norm(F.col("v")))
-    good = (F.col("n") > 0) & (F.col("n") < math.inf) & F.col("id").isNotNull()
-    return rows.where(good).select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), as_double(F.col(vector)).alias("v"))
+    # the length is bound before the elements are divided by it, else it would be computed again for each of them
+    measured = F.transform(F.array("v"), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    good = F.filter(measured, lambda s: (s["n"] > 0) & (s["n"] < math.inf))
+    units = F.transform(good, lambda s: F.transform(s["v"], lambda x: x / s["n"]))
+    return rows.select("id", F.explode(units).alias("v"))
 
 
 def _centroids(units: DataFrame, lists: int | None) -> np.ndarray:
@@ -67,6 +73,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``AT_ONCE`` at a time and never none."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
 def _angles(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ centroids.T, -1, 1))
 
@@ -77,7 +90,7 @@ class SimilarityIndex:
     def __init__(self, df: DataFrame, key: str, vector: str, lists: int | None = None):
         self.spark = df.sparkSession
         ship_package(self.spark)
-        units = unit_vectors(df, key, vector)
+        units = written(unit_vectors(df, key, vector), "units")  # read three times
         self.id_type = units.schema["id"].dataType
         # at most MOST_LISTS vectors: parameters of the index, sent with the tasks
         self.centroids = _centroids(units, lists)
@@ -94,9 +107,7 @@ class SimilarityIndex:
         centroids = self.centroids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _slices(batches):
                 angles = _angles(_matrix(batch.column("v")), centroids)
                 nearest = angles.argmin(1)
                 columns = [pa.array(nearest.astype(np.int32)), pa.array(angles.min(1)), batch.column("id"), batch.column("v")]
@@ -160,9 +171,7 @@ class SimilarityIndex:
         centroids, widest = self.centroids, self.widest
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(centroids):
-                    continue
+            for batch in _slices(batches if len(centroids) else ()):
                 angles = _angles(_matrix(batch.column("v")), centroids)
                 near = np.zeros(angles.shape, bool)
                 np.put_along_axis(near, np.argsort(angles, axis=1, kind="stable")[:, :probes], True, axis=1)
@@ -171,9 +180,12 @@ class SimilarityIndex:
                     best = np.cos(np.clip(angles - widest, 0, math.pi))
                     near = ~near & (best >= worst[:, None] - 10.0 ** (1 - DIGITS))
                 near &= widest >= 0
-                row, list_ = np.nonzero(near)
-                columns = [pa.array(list_.astype(np.int32)), batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row))]
-                yield pa.record_batch(columns, ["list", "id", "v"])
+                rows, lists = np.nonzero(near)
+                step = max(1, SENT_BYTES // (8 * centroids.shape[1]))
+                for at in range(0, len(rows), step):
+                    row, list_ = pa.array(rows[at : at + step]), lists[at : at + step].astype(np.int32)
+                    columns = [pa.array(list_), batch.column("id").take(row), batch.column("v").take(row)]
+                    yield pa.record_batch(columns, ["list", "id", "v"])
 
         return asked.mapInArrow(run, _schema(self.id_type, list="int", id=None, v="doubles"))
 

@@ -80,3 +80,31 @@ def test_any_small_set(spark, vectors, k, lists):
     df = spark.createDataFrame(rows, KIND)
     found = similar(df, df, "id", k=k, probes=1, exact=True, lists=lists)
     assert rows_of(found) == brute(rows, range(len(rows)), k)
+
+
+def test_routed_queries_leave_in_bounded_batches():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Asked:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(5)
+    n, lists, dim = 5000, 100, 64
+    vectors = rng.normal(size=(n, dim))
+    index = SimilarityIndex.__new__(SimilarityIndex)
+    index.id_type = T.LongType()
+    index.centroids = rng.normal(size=(lists, dim))
+    index.centroids /= np.linalg.norm(index.centroids, axis=1, keepdims=True)
+    index.widest = np.full(lists, np.pi)
+    columns = [pa.array(range(n)), pa.array(list(vectors)), pa.array([None] * n, pa.float64())]
+    run = index._routed(Asked(), 1, further=True)
+    sizes, lists_of = [], np.zeros(n, int)
+    for batch in run(iter([pa.record_batch(columns, ["id", "v", "worst"])])):
+        sizes.append(batch.num_rows * dim * 8)
+        ids = batch.column("id").to_numpy()
+        np.add.at(lists_of, ids, 1)
+        assert np.array_equal(np.array(batch.column("v").to_pylist()[0]), vectors[ids[0]])
+    # every list but the nearest, for every query
+    assert max(sizes) <= S.SENT_BYTES and (lists_of == lists - 1).all()

@@ -29,6 +29,9 @@ DIGITS = (
 UPPER = r"\p{Lu}\x{2160}-\x{216f}\x{24b6}-\x{24cf}"
 LETTERS = r"\p{L}"
 ALNUM = r"\p{L}\p{N}"
+# the ASCII characters that a class leaves out, or holds: tested first, since a class of many ranges tests slowly
+ASCII_OUTSIDE = {DIGITS: r"\x00-/:-\x7f", UPPER: r"\x00-@\[-\x7f"}
+ASCII_INSIDE = {ALNUM + WS: "0-9A-Za-z "}
 
 
 def strip(text: Column) -> Column:
@@ -58,12 +61,16 @@ def count_class(text: Column, body: str) -> Column:
     Dropping the runs outside the class and measuring what is left allocates one string per row instead
     of one per matching character.
     """
-    return F.length(F.regexp_replace(text, f"[^{body}]+", ""))
+    return F.length(F.regexp_replace(text, _ascii_first(ASCII_OUTSIDE.get(body)) + f"[^{body}]+", ""))
 
 
 def count_outside(text: Column, body: str) -> Column:
     """Characters of ``text`` outside the class ``[body]``."""
-    return F.length(F.regexp_replace(text, f"[{body}]+", ""))
+    return F.length(F.regexp_replace(text, _ascii_first(ASCII_INSIDE.get(body)) + f"[{body}]+", ""))
+
+
+def _ascii_first(body: str | None) -> str:
+    return f"[{body}]++|" if body else ""
 
 
 def ratio(count: Column, text: Column) -> Column:
@@ -73,10 +80,11 @@ def ratio(count: Column, text: Column) -> Column:
     )
 
 
-def count_substring(text: Column, needle: str) -> Column:
+def count_substring(text: Column, needle: str | Column) -> Column:
     """Non-overlapping occurrences of a literal; byte lengths are stored, so no character scan is needed."""
-    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle)))
-    return (removed / len(needle.encode())).cast("int")
+    needle = F.lit(needle) if isinstance(needle, str) else needle
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, needle))
+    return (removed / F.octet_length(needle)).cast("int")
 
 
 def after_bracket(raw: Column) -> Column:
